@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
+_BYTES = [mix(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64) * _GOLD) for k in range(2)]
 
 
 class _Powers:
@@ -112,10 +112,10 @@ class Words:
         return b" ".join(data[s:e] for s, e in zip(self.starts[i:j].tolist(), self.ends[i:j].tolist(), strict=True))
 
 
-def byte_sums(data: np.ndarray) -> np.ndarray:
+def byte_sums(data: np.ndarray, seed: int = 0) -> np.ndarray:
     up, _ = _LETTERS.upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.multiply(_BYTE[data], up[: len(data)], out=sums[1:])
+    np.multiply(_BYTES[seed][data], up[: len(data)], out=sums[1:])
     np.cumsum(sums, out=sums)
     return sums
 

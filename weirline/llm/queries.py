@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination
+from . import decontamination, line_dedup, mixing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", c.n_words.alias("n_words"), c.n_hit.alias("n_hit"), c.n_items.alias("n_items"), F.sha2(F.array_join(F.array_sort(c["items"]), ","), 256).alias("items_sha256"), (c.n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight equal shards by the key law: doc_id and the number of shards decide."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs, [1.0] * 8).withColumn("law", F.lit("key"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weighted 5, 2, 1 share 150% of all words."""
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 code points and more that 5 documents share stay in the last of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, with_text=False).drop("text")
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup}
 
 #: DuckDB: A-Z lower-cased and nothing else.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -40,4 +57,30 @@ SELECT w.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
 FROM w LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({SPACE_WORDS}) AS size, ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM d GROUP BY source),
+r AS (SELECT *, source_size::DOUBLE * 2 AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5 AS budget,
+  sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS w_left, coalesce(sum(source_size::DOUBLE * 2) OVER b, 0) AS before FROM s
+  WINDOW b AS (ORDER BY source_size::DOUBLE * 2 / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, cap * w_left <= w * (budget - before) AS capped FROM r),
+t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE w * (budget - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT capped THEN w END) OVER () END AS target FROM c),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS times FROM t),
+g AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h),
+a AS (SELECT g.*, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
+m AS (SELECT a.source, a.h, times < 2 AND target > 0 AND (upto <= target - times * source_size OR
+  (upto - n <= target - times * source_size AND upto - (target - times * source_size) < (target - times * source_size) - (upto - n))) AS more
+  FROM a JOIN e ON a.source IS NOT DISTINCT FROM e.source)
+SELECT d.doc_id, d.size, e.source_size, e.target, d.size * (e.times + CASE WHEN m.more THEN 1 ELSE 0 END) AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.h = m.h
+"""
+
+OP8_SQL = """
+WITH l AS (SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)),
+k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT l.*, coalesce(l.doc_id < k.last, false) AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
+"""
+
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL}
