@@ -10,9 +10,12 @@ few array passes a byte and no Python object is made per word.
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -247,3 +250,55 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - before, lengths)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values as byte planes under zstandard: planes of equal bytes cost next to nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(np.uint64)
+
+
+def packed_sorted(values: np.ndarray) -> bytes:
+    """Ascending values, as differences."""
+    return packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data))
+
+
+def bucket_cuts(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n buckets of the hash range ascending hashes fall in: the buckets, and the cuts between them."""
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    cut = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 40))), [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+    return bucket[cut[:-1]].astype(np.int32), cut
+
+
+def bits(flags: np.ndarray) -> bytes:
+    return zlib.compress(np.packbits(flags).tobytes(), 1)
+
+
+def unbits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8), count=n).astype(bool)
+
+
+def returned(table: pa.Table, hashes: np.ndarray, n: int, column: str = "_bits") -> np.ndarray:
+    """The flags that the buckets sent back for a block's ascending hashes."""
+    flags = np.zeros(len(hashes), bool)
+    buckets, cut = bucket_cuts(hashes, n)
+    at = {b: k for k, b in enumerate(buckets.tolist())}
+    for b, data in zip(table.column("_bucket").to_pylist(), table.column(column).to_pylist(), strict=True):
+        k = at[b]
+        flags[cut[k] : cut[k + 1]] = unbits(data, int(cut[k + 1] - cut[k]))
+    return flags
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal neighbours starts."""
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(first)

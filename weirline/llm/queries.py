@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, sharding
+from . import decontamination, line_dedup, mixing, relative_lz, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, [1.0] * 8).withColumn("law", F.lit("key"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 13 words and more that an earlier document holds are removed."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return relative_lz.dedup_substrings(docs, with_text=False).drop("text", "spans")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weighted 5, 2, 1 share 150% of all words."""
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -37,7 +43,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, with_text=False).drop("text")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup}
 
 #: DuckDB: A-Z lower-cased and nothing else.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,6 +63,17 @@ SELECT w.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
 FROM w LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP3_SQL = f"""
+WITH w AS (SELECT doc_id, {SPACE_WORDS} AS words FROM documents),
+n AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win FROM (SELECT *, unnest(generate_series(1, len(words) - 12)) AS i FROM w)),
+m AS (SELECT *, min(doc_id) OVER (PARTITION BY win) AS first FROM n),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM m WHERE first < doc_id),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS p FROM w),
+j AS (SELECT p.*, gone.p IS NOT NULL AS removed FROM p LEFT JOIN gone USING (doc_id, p)),
+k AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT removed) AS kept FROM j GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, source, len({SPACE_WORDS}) AS size, ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM d GROUP BY source),
@@ -83,4 +100,4 @@ j AS (SELECT l.*, coalesce(l.doc_id < k.last, false) AS gone FROM l LEFT JOIN k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
 """
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL}
