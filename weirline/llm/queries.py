@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, relative_lz, sharding
+from . import decontamination, line_dedup, mixing, relative_lz, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, with_text=False).drop("text")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 200-byte strings that occur twice are removed."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_bytes(docs, with_bytes=False).drop("kept", "spans")
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup, "op10_suffix_dedup": op10_suffix_dedup}
 
 #: DuckDB: A-Z lower-cased and nothing else.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
