@@ -200,13 +200,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/weirline-{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a new place in the shared folder and read again.
 
     A write is committed whole or not at all, so that a lost executor costs the
     tasks it ran and nothing else.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/weirline-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, relative_lz, sharding, suffix_dedup
+from . import decontamination, line_dedup, mixing, relative_lz, sharding, suffix_dedup, token_files
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +43,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as token ids, read back from the files."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.round_trip(docs, tokenizer_path())
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points and more that 5 documents share stay in the last of them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,7 +61,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(docs, with_bytes=False).drop("kept", "spans")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op5_mixing": op5_mixing, "op7_token_files": op7_token_files, "op8_line_dedup": op8_line_dedup, "op10_suffix_dedup": op10_suffix_dedup}
 
 #: DuckDB: A-Z lower-cased and nothing else.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
