@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, relative_lz, sharding, suffix_dedup, token_files
+from . import decontamination, line_dedup, mixing, quality, relative_lz, sharding, suffix_dedup, token_files
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,6 +38,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_lz.dedup_substrings(docs, with_text=False).drop("text", "spans")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the verdict of robust distances per language and source."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    q = F.col("quality")
+    return quality.judge(docs, columns=["doc_id"]).select("doc_id", *[q[b].alias(b) for b in quality.BASE], q.base_failed.alias("base_failed"), q.kept.alias("kept"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weighted 5, 2, 1 share 150% of all words."""
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -61,7 +68,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(docs, with_bytes=False).drop("kept", "spans")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op5_mixing": op5_mixing, "op7_token_files": op7_token_files, "op8_line_dedup": op8_line_dedup, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op5_mixing": op5_mixing, "op7_token_files": op7_token_files, "op8_line_dedup": op8_line_dedup, "op10_suffix_dedup": op10_suffix_dedup}
 
 #: DuckDB: A-Z lower-cased and nothing else.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
