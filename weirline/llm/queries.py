@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality, relative_lz, sharding, suffix_dedup, token_files
+from . import decontamination, lattice_lm, line_dedup, mixing, quality, relative_lz, sharding, suffix_dedup, token_files
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -50,6 +50,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's probability over its subword lattice, and by a word unigram."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice_lm.score(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts as token ids, read back from the files."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,7 +74,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(docs, with_bytes=False).drop("kept", "spans")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op5_mixing": op5_mixing, "op7_token_files": op7_token_files, "op8_line_dedup": op8_line_dedup, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op5_mixing": op5_mixing, "op6_lattice_lm": op6_lattice_lm, "op7_token_files": op7_token_files, "op8_line_dedup": op8_line_dedup, "op10_suffix_dedup": op10_suffix_dedup}
 
 #: DuckDB: A-Z lower-cased and nothing else.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
