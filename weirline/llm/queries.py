@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lattice_lm, line_dedup, mixing, quality, relative_lz, sharding, suffix_dedup, token_files
+from . import decontamination, jaccard, lattice_lm, line_dedup, mixing, quality, relative_lz, sharding, suffix_dedup, token_files
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -68,13 +68,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, with_text=False).drop("text")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups: 5-word sets with a Jaccard similarity of 0.8 or more."""
+    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 200-byte strings that occur twice are removed."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.dedup_bytes(docs, with_bytes=False).drop("kept", "spans")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op5_mixing": op5_mixing, "op6_lattice_lm": op6_lattice_lm, "op7_token_files": op7_token_files, "op8_line_dedup": op8_line_dedup, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_sharding": op2_sharding, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op5_mixing": op5_mixing, "op6_lattice_lm": op6_lattice_lm, "op7_token_files": op7_token_files, "op8_line_dedup": op8_line_dedup, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_suffix_dedup": op10_suffix_dedup}
 
 #: DuckDB: A-Z lower-cased and nothing else.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
