@@ -75,16 +75,16 @@ def _hashed(least_chars: int):
     return run
 
 
-STREAMED = f"{LINES}, _waits boolean"
+STREAMED = f"{LINES}, _waits boolean, _new boolean"
 
 
 def _streamed(least_docs: int):
     """One pass over a sorted partition: the rows to drop, and those of the first and the last
     hash, which wait.  A run that reaches a batch's end is carried into the next batch."""
 
-    def marked(table: pa.Table, places: np.ndarray, waits: bool):
+    def marked(table: pa.Table, places: np.ndarray, waits: bool, new_doc: np.ndarray):
         taken = table.take(pa.array(places))
-        return taken.append_column("_waits", pa.array(np.full(len(taken), waits))).combine_chunks().to_batches()
+        return taken.append_column("_waits", pa.array(np.full(len(taken), waits))).append_column("_new", pa.array(new_doc[places])).combine_chunks().to_batches()
 
     def run(batches):
         carried, at_start = None, True
@@ -102,7 +102,7 @@ def _streamed(least_docs: int):
             carried = table.slice(starts[-1])
             whole, ends = starts[:-1], starts[1:]
             if at_start and len(whole):
-                yield from marked(table, np.arange(ends[0]), True)
+                yield from marked(table, np.arange(ends[0]), True, new_doc)
                 whole, ends, at_start = whole[1:], ends[1:], False
             if not len(whole):
                 continue
@@ -112,9 +112,9 @@ def _streamed(least_docs: int):
             places = C.ranges(whole[many], lengths)
             places = places[ids[places] < np.repeat(ids[ends[many] - 1], lengths)]
             if len(places):
-                yield from marked(table, places, False)
+                yield from marked(table, places, False, new_doc)
         if carried is not None:
-            yield from marked(carried, np.arange(len(carried)), True)
+            yield from marked(carried, np.arange(len(carried)), True, new_doc[starts[-1] :])
 
     return run
 
@@ -126,8 +126,9 @@ def dropped(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
     dealt = lines.repartitionByRange("_h1", "_h2", "_id").sortWithinPartitions("_h1", "_h2", "_id", "_pos")
     streamed = C.stored(dealt.mapInArrow(_streamed(least_docs), STREAMED), "lines")
     waiting = streamed.where("_waits")
-    sums = waiting.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one")).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last"))
-    late = waiting.join(sums.where(F.col("_n") >= least_docs), ["_h1", "_h2"]).where(F.col("_id") < F.col("_last"))
+    # A document's rows of one hash share a partition, so new documents can be counted there; the sums are at most two a partition.
+    sums = waiting.groupBy("_h1", "_h2").agg(F.count_if("_new").alias("_n"), F.max("_id").alias("_last")).where(F.col("_n") >= least_docs)
+    late = waiting.join(F.broadcast(sums), ["_h1", "_h2"]).where(F.col("_id") < F.col("_last"))
     return streamed.where(~F.col("_waits")).select("_id", "_row", "_pos").union(late.select("_id", "_row", "_pos"))
 
 
