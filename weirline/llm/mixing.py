@@ -97,30 +97,51 @@ def _small(by_source: DataFrame) -> DataFrame:
     return F.broadcast(by_source) if by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else by_source
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, salt: str = "mix", columns: Sequence[str] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and any columns asked for, of each row.
+def _source_key(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
+
+
+def _cuts(sized: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
+    """A row a source: _src, source_size, target, _times (whole copies) and _threshold (for one more)."""
+    sources = sized.groupBy("_src").agg(F.first("_source").alias("source"), F.sum("_size").alias("source_size"))
+    wanted = C.checkpointed(targets(sources, weights, share, most).withColumn("_times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")))
+    budgets = wanted.select("_src", (F.col("target") - F.col("_times") * F.col("source_size")).alias("_budget"))
+    return _small(wanted.join(thresholds(sized.select("_src", "_size", "_hash"), budgets), "_src"))
+
+
+def _copies(most: int) -> Column:
+    """How often a document with the source's cut beside it is taken."""
+    once_more = (F.col("_times") < most) & (F.col("_hash") < F.col("_threshold")) & (F.col("target") > 0)
+    return F.col("_times") + once_more.cast("long")
+
+
+def _sized(docs: DataFrame, key: str, source: str, text: str, salt: str) -> DataFrame:
+    columns = [_source_key(source).alias("_src"), F.col(source).alias("_source"), F.col(key).alias("doc_id"), words_in(F.col(text)).alias("_size"), hash_of(F.col(key), salt).alias("_hash")]
+    return C.checkpointed(docs.select(*columns))
+
+
+def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, salt: str = "mix") -> DataFrame:
+    """doc_id, size, source_size, target and taken of each row.
 
     taken is a whole multiple of size, up to most times: every document as
     often as the target holds its source's size, and those below the source's
     threshold once more.  Whole documents are taken, so a source misses its
     target by half of one document's size at the most, but where rows share a
-    key.  Null text has size 0.  An empty table gives an empty result.
+    key.  Null text has size 0.  An empty table gives an empty result.  Other
+    columns are not read.
     """
-    sized = C.checkpointed(
-        docs.select(
-            F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("_src"),
-            F.col(source).alias("_source"),
-            F.col(key).alias("doc_id"),
-            words_in(F.col(text)).alias("_size"),
-            hash_of(F.col(key), salt).alias("_hash"),
-            *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(columns)],
-        )
-    )
-    sources = sized.groupBy("_src").agg(F.first("_source").alias("source"), F.sum("_size").alias("source_size"))
-    wanted = C.checkpointed(targets(sources, weights, share, most).withColumn("_times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")))
-    budgets = wanted.select("_src", (F.col("target") - F.col("_times") * F.col("source_size")).alias("_budget"))
-    cut = wanted.join(thresholds(sized.select("_src", "_size", "_hash"), budgets), "_src")
-    full = F.col("_times") >= most
-    once_more = F.when(~full & (F.col("_hash") < F.col("_threshold")) & (F.col("target") > 0), F.lit(1)).otherwise(F.lit(0))
-    joined = sized.join(_small(cut), "_src")
-    return joined.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("_times") + once_more)).alias("taken"), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(columns)])
+    sized = _sized(docs, key, source, text, salt)
+    joined = sized.join(_cuts(sized, weights, share, most), "_src")
+    return joined.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * _copies(most)).alias("taken"))
+
+
+def mixed(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, salt: str = "mix") -> DataFrame:
+    """The rows of docs that the mix takes, unchanged, each as often as it is taken.
+
+    Only the cuts, a row a source, come from the sized table; documents are
+    filtered by their hash where they lie.
+    """
+    cuts = _cuts(_sized(docs, key, source, text, salt), weights, share, most)
+    hashed = docs.withColumns({"_src": _source_key(source), "_hash": hash_of(F.col(key), salt)})
+    taken = hashed.join(cuts, "_src").withColumn("_copies", _copies(most).cast("int")).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
