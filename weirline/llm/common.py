@@ -29,7 +29,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
 
 
-def in_blocks(df: DataFrame, doc_id: str, text: str, total: int, block_bytes: int = 12 << 20) -> DataFrame:
+def in_blocks(df: DataFrame, doc_id: str, text: str, total: int, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, text, _row and _block: blocks of about block_bytes, by a hash of id and text.
 
     The block depends on the row alone, so that two passes over the same rows,
