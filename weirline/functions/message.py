@@ -47,13 +47,17 @@ def fields(*made: Column) -> Column:
     return F.filter(F.array(*made), lambda f: first(f).isNotNull())
 
 
-def messages(df: DataFrame, *, extra: list[str] | None = None, **columns: Column) -> DataFrame:
-    """df as messages: each named envelope column and `fields`, defaults for the rest, and extra columns kept."""
+def messages(df: DataFrame, *, extra: list[str] | None = None, required: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """df as messages: each named envelope column and `fields`, defaults for the rest, and extra columns kept.
+
+    Columns in `required` are never null in the source and are taken as they
+    are, so that predicates on them reach the scan.
+    """
     out = []
     for name, sql in ENVELOPE.items():
         given = columns.get(name)
         default = F.expr(DEFAULTS[name]).cast(sql)
-        out.append((default if given is None else F.coalesce(given.cast(sql), default)).alias(name))
+        out.append((default if given is None else given.cast(sql) if name in required else F.coalesce(given.cast(sql), default)).alias(name))
     bag = columns.get("fields")
     empty = F.array().cast(f"array<{FIELD_DDL}>")
     out.append((empty if bag is None else F.coalesce(bag, empty)).alias("fields"))

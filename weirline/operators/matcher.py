@@ -127,6 +127,13 @@ def to_sql(spec: str) -> str:
             out.append("(" + _number_test(NUMBERS[m["var"]], op, value) + ")")
         else:
             raise MatcherError(f"unknown variable {m['var']}: {spec}")
+    depth = 0
+    for part in out:
+        depth += (part == "(") - (part == ")")
+        if depth < 0:
+            break
+    if depth:
+        raise MatcherError(f"unmatched bracket: {spec}")
     for left, right in zip(out, out[1:], strict=False):
         if left not in ("AND", "OR", "(") and right not in ("AND", "OR", ")"):
             raise MatcherError(f"no operator between two terms: {spec}")

@@ -21,13 +21,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
     bag = M.fields(M.field("user_id", F.col("user_id"), "integer"), M.field("value", F.col("value"), "double"), M.field("k", k, "integer"))
-    return M.messages(df, extra=["event_id"], uuid=M.stable_uuid(F.lit("events"), F.col("event_id")), timestamp=nanos(F.col("ts")), type=F.col("event_type"), logger=F.lit("events"), payload=F.col("props"), hostname=F.concat(F.lit("host-"), F.col("user_id").cast("string")), severity=F.when(F.col("event_type") == "error", F.lit(3)).otherwise(F.lit(6)), fields=bag)
-
-
-def events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with user_id, value and k as plain columns, which Parquet prunes; no bag is built."""
-    df = table(spark, sf_dir, "events")
-    return M.messages(df, extra=["event_id", "user_id", "value", "props", "k"] if "k" in df.columns else ["event_id", "user_id", "value", "props"], timestamp=nanos(F.col("ts")), type=F.col("event_type"), logger=F.lit("events"), payload=F.col("props"), hostname=F.concat(F.lit("host-"), F.col("user_id").cast("string")))
+    return M.messages(df, extra=["event_id"], required=("type", "timestamp"), uuid=M.stable_uuid(F.lit("events"), F.col("event_id")), timestamp=nanos(F.col("ts")), type=F.col("event_type"), logger=F.lit("events"), payload=F.col("props"), hostname=F.concat(F.lit("host-"), F.col("user_id").cast("string")), severity=F.when(F.col("event_type") == "error", F.lit(3)).otherwise(F.lit(6)), fields=bag)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
