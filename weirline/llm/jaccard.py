@@ -90,25 +90,23 @@ def _signatures(bands: int, rows: int, ngram: int):
 def components(edges: DataFrame, steps: int = 40) -> DataFrame:
     """_node, _group (the smallest node of its component) of every node in edges (_a, _b), _a > _b.
 
-    Hooking and shortcutting: each round points every node's root at the
-    smallest root among its neighbours', and halves the paths, so that rounds
-    grow with the logarithm of the longest path.  Hot nodes are met by
-    aggregations only.
+    Hooking and shortcutting: each round points every label at the smallest
+    label among its neighbours', and then each node at its label's label,
+    twice, which halves the paths each time, so that rounds grow with the
+    logarithm of the longest path.  Hot nodes are met by aggregations only.
     """
     labels = C.checkpointed(edges.select(F.col("_a").alias("_node")).union(edges.select("_b")).distinct().withColumn("_group", F.col("_node")))
     for _ in range(steps):
         a = labels.select(F.col("_node").alias("_a"), F.col("_group").alias("_ga"))
         b = labels.select(F.col("_node").alias("_b"), F.col("_group").alias("_gb"))
         ends = edges.join(a, "_a").join(b, "_b").where(F.col("_ga") != F.col("_gb"))
-        hooks = ends.groupBy(F.greatest("_ga", "_gb").alias("_from")).agg(F.min(F.least("_ga", "_gb")).alias("_to"))
-        hooks = C.checkpointed(hooks)
+        hooks = C.checkpointed(ends.groupBy(F.greatest("_ga", "_gb").alias("_group")).agg(F.min(F.least("_ga", "_gb")).alias("_to")))
         if hooks.isEmpty():
             return labels
-        # Roots that hook to roots make short chains; two shortcuts shorten them fourfold.
+        labels = C.checkpointed(labels.join(hooks, "_group", "left").select("_node", F.coalesce("_to", "_group").alias("_group")))
         for _ in range(2):
-            onward = hooks.select(F.col("_from").alias("_to"), F.col("_to").alias("_further"))
-            hooks = hooks.join(onward, "_to", "left").select("_from", F.coalesce("_further", "_to").alias("_to"))
-        labels = C.checkpointed(labels.join(hooks.withColumnRenamed("_from", "_group"), "_group", "left").select("_node", F.coalesce("_to", "_group").alias("_group")))
+            labels = labels.join(labels.select(F.col("_node").alias("_group"), F.col("_group").alias("_further")), "_group").select("_node", F.col("_further").alias("_group"))
+        labels = C.checkpointed(labels)
     raise RuntimeError("components did not settle")
 
 
@@ -261,7 +259,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, ngram: int, threshold: flo
     groups = components(C.checkpointed(found.where(F.col("_node") != F.col("_to")).select(F.col("_node").alias("_a"), F.col("_to").alias("_b")).distinct()))
     whole = kinds.select("_node", "_h1", "_h2", "_first", "_copies").join(links, "_node", "left").join(groups, "_node", "left").withColumn("_group", F.coalesce("_group", "_node"))
     firsts = whole.groupBy("_group").agg(F.min("_first").alias("_smallest"))
-    named = whole.join(firsts, "_group").select("_h1", "_h2", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"), "_smallest")
+    named = whole.join(firsts, "_group").select("_group", "_h1", "_h2", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"), "_smallest")
     return signed.select("_id", "_h1", "_h2"), named
 
 
@@ -285,9 +283,9 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram:
 def keep(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, tile: int = TILE) -> DataFrame:
     """One row of docs, unchanged, of each near-duplicate group: the smallest document's."""
     all_rows, named = _grouped(docs, doc_id, text, ngram, threshold, recall, rows, tile)
-    of_group = all_rows.join(named, ["_h1", "_h2"]).groupBy("_smallest").agg(F.min(F.struct("_id", "_h1", "_h2")).alias("_k")).select("_k._id", "_k._h1", "_k._h2")
+    of_group = all_rows.join(named, ["_h1", "_h2"]).groupBy("_group").agg(F.min(F.struct("_id", "_h1", "_h2")).alias("_k")).select("_k._id", "_k._h1", "_k._h2")
     same = all_rows.join(of_group, ["_id", "_h1", "_h2"]).groupBy("_id", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_same"))
-    hashed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "_h1": F.xxhash64(F.col(text)), "_h2": F.xxhash64(F.lit("second"), F.col(text))})
+    hashed = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_h1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_h2"))
     kept = hashed.join(same, ["_id", "_h1", "_h2"])
-    once = kept.where("_same = 1").select(*docs.columns)
-    return once.unionByName(kept.where("_same > 1").dropDuplicates(["_id", "_h1", "_h2"]).select(*docs.columns))
+    once = kept.where("_same = 1").select("_doc.*")
+    return once.unionByName(kept.where("_same > 1").dropDuplicates(["_id", "_h1", "_h2"]).select("_doc.*"))

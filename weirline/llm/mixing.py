@@ -142,6 +142,6 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text:
     filtered by their hash where they lie.
     """
     cuts = _cuts(_sized(docs, key, source, text, salt), weights, share, most)
-    hashed = docs.withColumns({"_src": _source_key(source), "_hash": hash_of(F.col(key), salt)})
+    hashed = docs.select(F.struct("*").alias("_doc"), _source_key(source).alias("_src"), hash_of(F.col(key), salt).alias("_hash"))  # no name of docs can clash
     taken = hashed.join(cuts, "_src").withColumn("_copies", _copies(most).cast("int")).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

@@ -184,14 +184,18 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     """
     found = estimates(measure(docs.select(text, lang, source), text, name), lang, source, name)
     want = list(columns) if columns is not None else [c for c in docs.columns if c.lower() != name]
-    measured = measure(docs.select(*dict.fromkeys([*want, text, lang, source])), text, name)
-    joined = measured.withColumn("_key", _key(lang, source)).join(_small(found), "_key", "left")
-    q = F.col(name)
-    distance = F.when(F.col("_mean").isNotNull(), _distance(f"`{name}`.x", "_mean", "_inverse"))
+    measured = measure(docs.select(*dict.fromkeys([*(f"`{c}`" for c in want), *(f"`{c}`" for c in (text, lang, source))])), text, name)
+    packed = measured.select(F.struct(*[F.col(f"`{c}`") for c in want]).alias("_doc"), F.col(name).alias("_q"), _key(lang, source).alias("_key"))  # no name of docs can clash
+    joined = packed.join(_small(found), "_key", "left")
+    q = F.col("_q")
+    distance = F.when(F.col("_mean").isNotNull(), _distance("_q.x", "_mean", "_inverse"))
     verdict = ~q.base_failed & F.coalesce(distance <= cutoff, F.lit(True))
-    return joined.select(*want, F.struct(*[q[b].alias(b) for b in BASE], q.base_failed.alias("base_failed"), distance.alias("distance"), verdict.alias("kept")).alias(name))
+    return joined.select("_doc.*", F.struct(*[q[b].alias(b) for b in BASE], q.base_failed.alias("base_failed"), distance.alias("distance"), verdict.alias("kept")).alias(name))
 
 
 def keep(docs: DataFrame, *, name: str = "quality", **options) -> DataFrame:
     """The rows of docs that every rule keeps, unchanged."""
-    return judge(docs, name=name, **options).where(F.col(name).kept).select(*docs.columns)
+    judged = judge(docs, name=name, **options)
+    if any(c.lower() == name for c in docs.columns):
+        raise ValueError(f"a column is called {name}: choose another name")
+    return judged.where(F.col(name).kept).drop(name)
