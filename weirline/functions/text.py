@@ -39,7 +39,7 @@ def strftime(layout: str) -> str:
     out = []
     for literal, code in re.findall(r"([^%]+)|%(.)", layout):
         if literal:
-            out.append(re.sub(r"[A-Za-z]+", lambda m: f"'{m[0]}'", literal.replace("'", "''")))
+            out.append(re.sub(r"[A-Za-z\[\]{}#]+", lambda m: f"'{m[0]}'", literal.replace("'", "''")))
         else:
             out.append(STRFTIME[code])
     return "".join(out)
