@@ -23,6 +23,16 @@ PAYLOAD = "payload"
 MAX_ERROR = 500
 
 
+_CUT = "\ue001"  # stands between captures; no log holds it
+
+
+def captured(text: str, pattern: str, groups: int, build: Callable[[Column, list[Column]], Column]) -> Column:
+    """build(whether the whole text matches, its captures), where the pattern runs once a row: the
+    captures are bound by a lambda, since Spark does not share what stands in branches."""
+    parts = F.split(F.regexp_replace(F.col(text), pattern, "".join(f"{_CUT}${k}" for k in range(1, groups + 1))), _CUT)
+    return F.get(F.transform(F.array(parts), lambda c: build(F.size(c) == groups + 1, [F.get(c, F.lit(k)) for k in range(1, groups + 1)])), F.lit(0))
+
+
 def decoded(ok: Column, fields: Column | None = None, **parts: Column) -> Column:
     """A decoder's struct where ok, null elsewhere; parts that are not given leave the message's own."""
     columns = [(parts[n].cast(t) if n in parts else F.lit(None).cast(t)).alias(n) for n, t in M.ENVELOPE.items()]
@@ -135,25 +145,28 @@ def _access(pieces: list[tuple[str, str]], type_: str, *, agent: bool, agent_kee
             pattern += r"(-|\d+(?:\.\d+)?)" if name in _NUMBERS else (f"([^{re.escape(follows)}]*)" if follows and follows != " " else r"(\S*)" if follows == " " else "(.*)")
             names.append(name)
     pattern += r"\s*$"
-    got = {n: F.regexp_extract(F.col(text), pattern, k + 1) for k, n in enumerate(names)}
-    parts: dict = {"type": F.lit(type_), "payload": F.col(text) if payload_keep else F.lit("")}
-    made = []
-    for n, c in got.items():
-        if n == "time_local":
-            parts["timestamp"] = X.timestamp(c, _COMMON_TIME, fallback=False)
-        elif n == "time_iso8601":
-            parts["timestamp"] = X.timestamp(c, "RFC3339", fallback=False)
-        elif n in _NUMBERS:
-            number = F.when(c == "-", F.lit(0.0)).otherwise(c.try_cast("double"))
-            made.append(M.field(n, number, "double", {"request_time": "s", "body_bytes_sent": "B", "bytes_sent": "B"}.get(n, "")))
-        elif n == "http_user_agent" and agent:
-            browser, version, system = X.agent(c)
-            made += [M.field("user_agent_browser", browser, "string"), M.field("user_agent_version", version, "double"), M.field("user_agent_os", system, "string")]
-            kept = F.lit(True) if agent_keep else (browser.isNull() | system.isNull()) if agent_conditional else F.lit(False)
-            made.append(M.field(n, F.when(kept, c), "string"))
-        else:
-            made.append(M.field(n, c, "string", "ipv4" if n == "remote_addr" else ""))
-    return decoded(F.col(text).rlike(pattern), M.fields(*made), **parts)
+    def build(ok: Column, found: list[Column]) -> Column:
+        got = dict(zip(names, found, strict=True))
+        parts: dict = {"type": F.lit(type_), "payload": F.col(text) if payload_keep else F.lit("")}
+        made = []
+        for n, c in got.items():
+            if n == "time_local":
+                parts["timestamp"] = X.timestamp(c, _COMMON_TIME, fallback=False)
+            elif n == "time_iso8601":
+                parts["timestamp"] = X.timestamp(c, "RFC3339", fallback=False)
+            elif n in _NUMBERS:
+                number = F.when(c == "-", F.lit(0.0)).otherwise(c.try_cast("double"))
+                made.append(M.field(n, number, "double", {"request_time": "s", "body_bytes_sent": "B", "bytes_sent": "B"}.get(n, "")))
+            elif n == "http_user_agent" and agent:
+                browser, version, system = X.agent(c)
+                made += [M.field("user_agent_browser", browser, "string"), M.field("user_agent_version", version, "double"), M.field("user_agent_os", system, "string")]
+                kept = F.lit(True) if agent_keep else (browser.isNull() | system.isNull()) if agent_conditional else F.lit(False)
+                made.append(M.field(n, F.when(kept, c), "string"))
+            else:
+                made.append(M.field(n, c, "string", "ipv4" if n == "remote_addr" else ""))
+        return decoded(ok, M.fields(*made), **parts)
+
+    return captured(text, pattern, len(names), build)
 
 
 def nginx_access(log_format: str, *, type_: str = "nginx.access", user_agent_transform: bool = False, user_agent_keep: bool = False, user_agent_conditional: bool = False, payload_keep: bool = False, text: str = PAYLOAD) -> Column:
@@ -185,9 +198,12 @@ SEVERITIES = {"emerg": 0, "alert": 1, "crit": 2, "err": 3, "error": 3, "warning"
 def nginx_error(*, type_: str = "nginx.error", tz: str | None = None, payload_keep: bool = False, text: str = PAYLOAD) -> Column:
     """A line of nginx's error log."""
     pattern = r"^(\d{4}/\d\d/\d\d \d\d:\d\d:\d\d) \[(\w+)\] (\d+)#(\d+): (?:\*(\d+) )?([\s\S]*)$"
-    part = lambda k: F.regexp_extract(F.col(text), pattern, k)
-    bag = M.fields(M.field("tid", part(4).try_cast("double"), "double"), M.field("connection", F.nullif(part(5), F.lit("")).try_cast("double"), "double"))
-    return decoded(F.col(text).rlike(pattern), bag, timestamp=X.timestamp(part(1), "yyyy/MM/dd HH:mm:ss", tz, fallback=False), severity=X.severity(part(2), SEVERITIES), pid=part(3).try_cast("int"), payload=F.col(text) if payload_keep else part(6), type=F.lit(type_))
+    def build(ok: Column, found: list[Column]) -> Column:
+        part = lambda k: found[k - 1]
+        bag = M.fields(M.field("tid", part(4).try_cast("double"), "double"), M.field("connection", F.nullif(part(5), F.lit("")).try_cast("double"), "double"))
+        return decoded(ok, bag, timestamp=X.timestamp(part(1), "yyyy/MM/dd HH:mm:ss", tz, fallback=False), severity=X.severity(part(2), SEVERITIES), pid=part(3).try_cast("int"), payload=F.col(text) if payload_keep else part(6), type=F.lit(type_))
+
+    return captured(text, pattern, 6, build)
 
 
 def nginx_stub_status(*, type_: str = "nginx_stub_status", payload_keep: bool = False, text: str = PAYLOAD) -> Column:
@@ -198,8 +214,11 @@ def nginx_stub_status(*, type_: str = "nginx_stub_status", payload_keep: bool =
 
 def _numbers(pattern: str, names: Sequence[str], type_: str, payload_keep: bool, text: str, copied: Sequence[str] = ()) -> Column:
     """Numbers of a pattern as double fields, after which named fields of the message are kept."""
-    made = F.array(*[M.field(n, F.regexp_extract(F.col(text), pattern, k + 1).try_cast("double"), "double") for k, n in enumerate(names)])
-    return decoded(F.col(text).rlike(pattern), F.concat(made, _copied(copied)), type=F.lit(type_), payload=F.col(text) if payload_keep else F.lit(""))
+    def build(ok: Column, found: list[Column]) -> Column:
+        made = F.array(*[M.field(n, c.try_cast("double"), "double") for n, c in zip(names, found, strict=True)])
+        return decoded(ok, F.concat(made, _copied(copied)), type=F.lit(type_), payload=F.col(text) if payload_keep else F.lit(""))
+
+    return captured(text, pattern + r"[\s\S]*$", len(names), build)
 
 
 def _copied(names: Sequence[str]) -> Column:
@@ -229,31 +248,34 @@ def rsyslog(template: str, *, type_: str = "", tz: str | None = None, hostname_k
         pattern += shape
         names.append((name, options))
     pattern += r"\n?$"
-    part = {n: (F.regexp_extract(F.col(text), pattern, k + 1), o) for k, (n, o) in enumerate(names)}
-    out: dict = {"type": F.lit(type_)} if type_ else {}
-    made = []
-    for n, (c, o) in part.items():
-        when = X.timestamp(c, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX" if "date-rfc3339" in o else "MMM d HH:mm:ss", tz, fallback=False, year=year)
-        if n in ("timestamp", "timereported") and "timestamp" not in out:
-            out["timestamp"] = when
-        elif n in ("timestamp", "timereported", "timegenerated"):
-            made.append(M.field(n, when.cast("double"), "double"))
-        elif n == "pri":
-            out["severity"] = F.pmod(c.try_cast("int"), F.lit(8))
-            made.append(M.field("syslogfacility", F.floor(c.try_cast("int") / 8).cast("double"), "double"))
-        elif n.startswith(("syslogseverity", "syslogpriority")):
-            out.setdefault("severity", X.severity(c, SEVERITIES))
-        elif n == "syslogtag":
-            tag = r"^([^\[:]*)(?:\[(\d+)\])?:?$"
-            out["pid"] = F.nullif(F.regexp_extract(c, tag, 2), F.lit("")).try_cast("int")
-            made.append(M.field("programname", F.regexp_extract(c, tag, 1), "string"))
-        elif n in ("hostname", "source") and not hostname_keep:
-            out["hostname"] = c
-        elif n == "msg":
-            out["payload"] = c
-        else:
-            made.append(M.field(n, c, "string"))
-    return decoded(F.col(text).rlike(pattern), M.fields(*made), **out)
+    def build(ok: Column, found: list[Column]) -> Column:
+        part = {n: (c, o) for (n, o), c in zip(names, found, strict=True)}
+        out: dict = {"type": F.lit(type_)} if type_ else {}
+        made = []
+        for n, (c, o) in part.items():
+            when = X.timestamp(c, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX" if "date-rfc3339" in o else "MMM d HH:mm:ss", tz, fallback=False, year=year)
+            if n in ("timestamp", "timereported") and "timestamp" not in out:
+                out["timestamp"] = when
+            elif n in ("timestamp", "timereported", "timegenerated"):
+                made.append(M.field(n, when.cast("double"), "double"))
+            elif n == "pri":
+                out["severity"] = F.pmod(c.try_cast("int"), F.lit(8))
+                made.append(M.field("syslogfacility", F.floor(c.try_cast("int") / 8).cast("double"), "double"))
+            elif n.startswith(("syslogseverity", "syslogpriority")):
+                out.setdefault("severity", X.severity(c, SEVERITIES))
+            elif n == "syslogtag":
+                tag = r"^([^\[:]*)(?:\[(\d+)\])?:?$"
+                out["pid"] = F.nullif(F.regexp_extract(c, tag, 2), F.lit("")).try_cast("int")
+                made.append(M.field("programname", F.regexp_extract(c, tag, 1), "string"))
+            elif n in ("hostname", "source") and not hostname_keep:
+                out["hostname"] = c
+            elif n == "msg":
+                out["payload"] = c
+            else:
+                made.append(M.field(n, c, "string"))
+        return decoded(ok, M.fields(*made), **out)
+
+    return captured(text, pattern, len(names), build)
 
 
 def json(*, type_: str = "json", mapping: Mapping[str, str] | None = None, layout: str | None = None, separator: str = ".", max_depth: int = 1, payload_keep: bool = False, text: str = PAYLOAD) -> Column:
@@ -365,12 +387,15 @@ BIND_TYPES = "AFSDB APL AXFR CAA CDNSKEY CDS CERT CNAME DHCID DLV DNAME DS HIP I
 def bind_query(*, type_: str = "bind.query", payload_keep: bool = False, text: str = PAYLOAD) -> Column:
     """A line of BIND's query log."""
     kinds = "|".join(BIND_TYPES) + r"|\*"
-    pattern = rf"^(\d\d-[A-Z][a-z]{{2}}-\d{{4}} \d\d:\d\d:\d\d)\.\d{{3}} (?:\S+: )*?client (?:@0x[0-9a-f]+ )?([0-9.]+)#(\d{{0,5}}) \(((?:[A-Za-z0-9_-]+\.)*[A-Za-z0-9_-]+)\): query: (?:([A-Za-z0-9_-]+)\.)?(\S+) (IN|CH|HS) ({kinds}) ([+EDSCT-]+) \(([0-9.]+)\)"
-    part = lambda k: F.regexp_extract(F.col(text), pattern, k)
-    flags = F.transform(F.filter(F.split(part(9), ""), lambda c: c != ""), lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in BIND_FLAGS.items() for x in kv]), c))
-    kind = F.when(part(8) == "DLV", F.lit("DLC")).otherwise(part(8))
-    bag = [M.field("ClientIP", part(2), "string", "ipv4"), M.field("FullQuery", part(4), "string"), M.field("QueryName", F.nullif(part(5), F.lit("")), "string"), M.field("QueryDomain", part(6), "string"), M.field("RecordClass", part(7), "string"), M.field("RecordType", kind, "string"), M.field("QueryFlags", flags, "string", is_array=True), M.field("ServerRespondingIP", part(10), "string", "ipv4")]
-    return decoded(F.col(text).rlike(pattern), M.fields(*bag), timestamp=X.timestamp(part(1), "dd-MMM-yyyy HH:mm:ss", fallback=False), type=F.lit(type_), payload=F.col(text) if payload_keep else F.lit(""))
+    pattern = rf"^(\d\d-[A-Z][a-z]{{2}}-\d{{4}} \d\d:\d\d:\d\d)\.\d{{3}} (?:\S+: )*?client (?:@0x[0-9a-f]+ )?([0-9.]+)#(\d{{0,5}}) \(((?:[A-Za-z0-9_-]+\.)*[A-Za-z0-9_-]+)\): query: (?:([A-Za-z0-9_-]+)\.)?(\S+) (IN|CH|HS) ({kinds}) ([+EDSCT-]+) \(([0-9.]+)\)[\s\S]*$"
+    def build(ok: Column, found: list[Column]) -> Column:
+        part = lambda k: found[k - 1]
+        flags = F.transform(F.filter(F.split(part(9), ""), lambda c: c != ""), lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in BIND_FLAGS.items() for x in kv]), c))
+        kind = F.when(part(8) == "DLV", F.lit("DLC")).otherwise(part(8))
+        bag = [M.field("ClientIP", part(2), "string", "ipv4"), M.field("FullQuery", part(4), "string"), M.field("QueryName", F.nullif(part(5), F.lit("")), "string"), M.field("QueryDomain", part(6), "string"), M.field("RecordClass", part(7), "string"), M.field("RecordType", kind, "string"), M.field("QueryFlags", flags, "string", is_array=True), M.field("ServerRespondingIP", part(10), "string", "ipv4")]
+        return decoded(ok, M.fields(*bag), timestamp=X.timestamp(part(1), "dd-MMM-yyyy HH:mm:ss", fallback=False), type=F.lit(type_), payload=F.col(text) if payload_keep else F.lit(""))
+
+    return captured(text, pattern, 10, build)
 
 
 # /proc and /sys
