@@ -136,4 +136,42 @@ j AS (SELECT l.*, coalesce(l.doc_id < k.last, false) AS gone FROM l LEFT JOIN k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
 """
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL}
+OP9_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, text, {SPACE_WORDS} AS words FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i + 4], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE []::VARCHAR[] END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 1000 >= 800 * (x.n + y.n - c)
+  UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.text IS NOT DISTINCT FROM y.text AND x.doc_id < y.doc_id),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+k AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+d AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a),
+t AS (SELECT text, min(doc_id) AS copy_id FROM documents GROUP BY text)
+SELECT w.doc_id, t.copy_id, k.class_id, coalesce(d.n_links, 0) AS n_links FROM w JOIN t ON w.text IS NOT DISTINCT FROM t.text JOIN k ON k.node = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id
+"""
+
+#: DuckDB has no crc32: the table of its polynomial by rule, then a fold over the bytes.
+OP2_SQL = """
+WITH tbl AS (SELECT list(v ORDER BY n) AS tbl FROM (SELECT n, list_reduce(list_prepend(n, list_transform(range(8), lambda x: 0::BIGINT)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS n))),
+b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+d AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM b, tbl),
+u AS (SELECT DISTINCT doc_id, s, -ln((('0x' || substr(md5(':' || s || ':' || coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) AS score FROM documents, range(9) r(s)),
+k AS (SELECT doc_id, arg_min(s, score) FILTER (s < 8) AS shard, arg_min(s, score) AS grown_shard FROM u GROUP BY doc_id)
+SELECT d.doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM d JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id
+"""
+
+OP10_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT *, unnest(range(n - 199)) AS i FROM h WHERE n >= 200)),
+r AS (SELECT m FROM s GROUP BY m HAVING count(*) > 1),
+f AS (SELECT doc_id, i FROM s JOIN r USING (m)),
+p AS (SELECT doc_id, unnest(range(n)) AS i, unnest(regexp_extract_all(h, '..')) AS byte FROM h),
+c AS (SELECT p.*, coalesce(max(CASE WHEN f.i IS NOT NULL THEN 1 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 0) AS gone FROM p LEFT JOIN f USING (doc_id, i)),
+e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS starts FROM c),
+k AS (SELECT doc_id, count(*) FILTER (gone = 1) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_sharding": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
