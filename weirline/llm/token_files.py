@@ -34,7 +34,7 @@ from . import common as C
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 18
 END_ID = 0
-CACHED_UNITS = 400_000
+CACHED_UNITS = 500_000
 FILES = "part int, seq int, first long, n_ids long, doc_ids array<long>, lengths array<long>, block_ids int, bit_planes boolean, ends array<int>, data binary"
 
 
@@ -46,59 +46,117 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _is(*codes: int) -> np.ndarray:
+    return np.isin(np.arange(256), codes)
+
+
+_LETTER = _is(*range(0x41, 0x5B), *range(0x61, 0x7B))
+_DIGIT = _is(*range(0x30, 0x3A))
+_WHITE = C.SPACE | _is(*range(0x1C, 0x20))
+_MARK = _is(*range(0x21, 0x7F)) & ~_LETTER & ~_DIGIT
+
+
 class Encoder:
     """Encodes texts, each different unit of them once.
 
-    A unit begins at a space after a byte that is not white space, or after a
-    line break between two ASCII bytes that are not.  The pattern by which a
+    A unit begins at a space after a byte that is not white space, after a
+    line break between two ASCII bytes that are not, and where ASCII letters,
+    digits and marks meet, except after an apostrophe.  The pattern by which a
     byte-level BPE splits its input never joins what lies on both sides of
     such a place, so the units' ids in a row are the text's.
+
+    New units go to the tokenizer as lines of one text: a line break before a
+    space or a character that is no white space is a token of its own, so it
+    parts the ids of one unit from the next.  Units with white space inside,
+    or that may hold white space beyond ASCII, go one by one.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
+        #: Strings that are one token wherever they stand, such as the end of a text: no unit ends inside.
+        self.fixed = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[int, int] = {}
-        self.ids, self.ends, self.fresh = [np.zeros(0, np.uint32)], [0], []
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the texts."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        white = C.SPACE[data] | ((data >= 0x1C) & (data <= 0x1F))
+    def _cuts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        white = _WHITE[data]
         plain = ~white & (data < 0x80)
         cut = np.zeros(len(data), bool)
         cut[1:] = (data[1:] == 0x20) & ~white[:-1]
         cut[2:] |= (data[1:-1] == 0x0A) & plain[:-2] & plain[2:]
+        kind = (_LETTER.astype(np.uint8) + 2 * _DIGIT + 3 * _MARK)[data]
+        meets = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (data[:-1] != 0x27)
+        raw = data.tobytes() if self.fixed else b""
+        for text in self.fixed:
+            at = raw.find(text)
+            while at >= 0:
+                meets[at : at + len(text)] = False
+                at = raw.find(text, at + 1)
+        cut[1:] |= meets
         cut[offs[:-1][offs[:-1] < len(data)]] = True
-        starts = np.flatnonzero(cut)
+        return np.flatnonzero(cut)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: list[int]) -> None:
+        """Encodes units that are not known."""
+        follows = np.append(data[1:], np.uint8(0))
+        odd = _WHITE[data] | (data < 0x20) | ((data == 0xC2) & ((follows == 0x85) | (follows == 0xA0))) | ((data == 0xE1) & (follows == 0x9A)) | ((data == 0xE2) & ((follows == 0x80) | (follows == 0x81))) | ((data == 0xE3) & (follows == 0x80))
+        upto = np.concatenate([[0], np.cumsum(odd)])
+        lines = upto[ends] - upto[np.minimum(starts + 1, ends)] == 0  # a space may come first
+        lines &= (data[starts] == 0x20) | ~odd[starts]
+        lines &= (ends - starts > 1) | (data[starts] != 0x20)
+        parts = []
+        for own in np.array_split(np.flatnonzero(lines), max(1, int(lines.sum()) // 50_000)):
+            if not len(own):
+                continue
+            lengths = ends[own] - starts[own] + 1
+            text = np.append(data, np.uint8(0x0A))[np.minimum(C.ranges(starts[own], lengths), len(data))]
+            text[np.cumsum(lengths) - 1] = 0x0A
+            ids = np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+            breaks = np.flatnonzero(ids == self.line_break)
+            if len(breaks) != len(own):
+                lines[own] = False
+                continue
+            parts.append((own, ids[ids != self.line_break], np.diff(breaks, prepend=-1) - 1))
+        single = np.flatnonzero(~lines)
+        if len(single):
+            raw = data.tobytes()
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([raw[starts[k] : ends[k]].decode() for k in single], add_special_tokens=False)]
+            parts.append((single, np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)))
+        place = len(self.ends) - 1
+        order = np.concatenate([p for p, _, _ in parts])
+        self.known.update(zip([keys[k] for k in order.tolist()], range(place, place + len(order)), strict=True))
+        self.ids = np.concatenate([self.ids, *[ids for _, ids, _ in parts]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([n for _, _, n in parts]))])
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        starts = self._cuts(data, offs)
         ends = np.append(starts[1:], len(data))
         hashes, first, which = np.unique(C.byte_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
         if len(self.known) > CACHED_UNITS:
             self.reset()
-        missing = [k for k, h in enumerate(keys) if h not in self.known]
-        if missing:
-            raw = data.tobytes()
-            for n in range(0, len(missing), 20_000):
-                part = missing[n : n + 20_000]
-                got = self.tokenizer.encode_batch_fast([raw[starts[first[k]] : ends[first[k]]].decode() for k in part], add_special_tokens=False)
-                for k, e in zip(part, got, strict=True):
-                    self.known[keys[k]] = len(self.ends) - 1
-                    self.fresh.extend(e.ids)
-                    self.ends.append(self.ends[-1] + len(e.ids))
-            self.ids.append(np.array(self.fresh, np.uint32))
-            self.fresh = []
-        flat, edges = np.concatenate(self.ids), np.array(self.ends)
-        self.ids = [flat]
+        keys = hashes.tolist()
+        missing = np.array([k for k, h in enumerate(keys) if h not in self.known], np.int64)
+        if len(missing):
+            self._learn(data, starts[first[missing]], ends[first[missing]], hashes[missing].tolist())
         unit = np.array([self.known[h] for h in keys])[which]
-        lengths = edges[unit + 1] - edges[unit]
-        ids = flat[C.ranges(edges[unit], lengths)]
+        lengths = (self.ends[1:] - self.ends[:-1])[unit]
+        ids = self.ids[C.ranges(self.ends[unit], lengths)]
         return ids, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offs)]
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker: words come again."""
+    return Encoder(path)
+
+
 def to_planes(ids: np.ndarray, bit_planes: bool) -> list[bytes]:
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
     if bit_planes:
@@ -115,7 +173,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 
 def _write(path: str, end_id: int, block_ids: int, chunk_ids: int, bit_planes: bool):
     def write(batches):
-        encoder, pack = Encoder(path), zstandard.ZstdCompressor(level=3)
+        encoder, pack = _encoder(path), zstandard.ZstdCompressor(level=3)
         part = TaskContext.get().partitionId()
         seq, first = 0, 0
         ids, docs, lengths, held = [], [], [], 0
@@ -132,7 +190,7 @@ def _write(path: str, end_id: int, block_ids: int, chunk_ids: int, bit_planes: b
         for batch in batches:
             data, offs = C.texts(batch.column("_text"))
             names = batch.column("_id").to_pylist()
-            for i, j in C.chunks(offs):
+            for i, j in C.chunks(offs, 1 << 21):
                 found, at = encoder.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 for k in range(j - i):
                     ids.append(np.append(found[at[k] : at[k + 1]], np.uint32(end_id)))
