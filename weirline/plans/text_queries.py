@@ -80,7 +80,7 @@ _ACCESS_SQL = f"""SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) * 1000000000
 
 
 def _access(spark, sf_dir, column):
-    agent = F.concat(F.lit("Mozilla/5.0 (X11; Linux x86_64) "), F.when(F.col("k") % 2 == 0, F.lit("Gecko/20100101 Firefox/26.0")).otherwise(F.lit("AppleWebKit/537 Chrome/26.0 Safari/537")))
+    agent = F.concat(F.lit("Agent/5.0 (X11; Linux x86_64) "), F.when(F.col("k") % 2 == 0, F.lit("Gecko/20100101 Firefox/26.0")).otherwise(F.lit("AppleWebKit/537 Chrome/26.0 Safari/537")))
     line = F.concat(F.lit("10.0."), (F.col("user_id") % 250).cast("string"), F.lit("."), F.col("k").cast("string"), F.lit(" - - ["), _at("dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), "event_type", F.lit(' HTTP/1.1" '), (F.col("k") + 200).cast("string"), F.lit(" "), "uid", F.lit(' "-" "'), agent, F.lit('"'))
     read = decoders.decode(_lines(spark, sf_dir, line), column, keep=["event_id"])
     return read.select("event_id", "timestamp", M.text("remote_addr").alias("remote_addr"), M.text("request").alias("request"), _number("status"), _number("body_bytes_sent"), M.text("user_agent_browser").alias("user_agent_browser"), _number("user_agent_version"), M.text("user_agent_os").alias("user_agent_os"))
