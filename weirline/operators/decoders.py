@@ -398,6 +398,20 @@ def bind_query(*, type_: str = "bind.query", payload_keep: bool = False, text: s
     return captured(text, pattern, 10, build)
 
 
+def container_event(*, text: str = PAYLOAD) -> Column:
+    """A container engine's event as JSON: fields ID, Status, From and Time."""
+    top = F.from_json(F.col(text), "id string, status string, `from` string, time bigint")
+    bag = M.fields(M.field("ID", top["id"], "string"), M.field("Status", top["status"], "string"), M.field("From", top["from"], "string"), M.field("Time", top["time"], "integer"))
+    words = F.concat_ws(" ", F.lit("id:"), top["id"], F.lit("status:"), top["status"], F.lit("from:"), top["from"], F.lit("time:"), top["time"].cast("string"))
+    return decoded(top["id"].isNotNull() & top["status"].isNotNull(), bag, type=F.lit("DockerEvent"), payload=words, timestamp=top["time"] * 1_000_000_000)
+
+
+def container_stats(*, text: str = PAYLOAD) -> Column:
+    """A container's statistics, left as JSON in the payload, at the time they were read."""
+    top = F.from_json(F.col(text), "read string, name string")
+    return decoded(top["read"].isNotNull(), M.fields(M.field("ContainerName", F.ltrim(top["name"], F.lit("/")), "string")), type=F.lit("DockerStats"), payload=F.col(text), timestamp=X.timestamp(top["read"], "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", fallback=False))
+
+
 # /proc and /sys
 
 

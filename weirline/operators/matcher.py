@@ -10,6 +10,7 @@ Spark parses the whole, and Catalyst folds, prunes and pushes it down.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame
@@ -170,3 +171,18 @@ def reinjected(made: DataFrame, spec: str, *, max_loops: int = 4) -> DataFrame:
 def in_set(df: DataFrame, hosts: list[str], output: str) -> DataFrame:
     """Messages of the given hosts, with the name of the output that takes them."""
     return df.where(F.col("hostname").isin(hosts)).withColumn("output", F.lit(output))
+
+
+def fan_out(routes: dict[str, tuple[str, Callable[[DataFrame], None]]]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: {name: (matcher, write)}; the batch is computed once and each consumer gets what it wants."""
+
+    def run(batch: DataFrame, epoch: int = 0) -> None:
+        flags = {f"_r{k}": compile(spec) for k, (spec, _) in enumerate(routes.values())}
+        marked = batch.withColumns(flags).persist()
+        try:
+            for k, (_, write) in enumerate(routes.values()):
+                write(marked.where(F.col(f"_r{k}")).select(*batch.columns))
+        finally:
+            marked.unpersist()
+
+    return run

@@ -189,3 +189,49 @@ def as_messages(rows: DataFrame, *, type_: str, hostname: str = "") -> DataFrame
     details = F.map_entries(F.from_json("details", "map<string,string>"))
     bag = F.transform(F.coalesce(details, F.array().cast("array<struct<key:string,value:string>>")), lambda e: M.field(e["key"], e["value"], "string"))
     return M.messages(rows, type=F.lit(type_), logger=F.col("source"), payload=F.col("payload"), hostname=F.lit(hostname), timestamp=F.col("at"), fields=bag)
+
+
+class _Amqp(_PollReader):
+    """Deliveries are acknowledged when their batch is committed."""
+
+    def snapshot(self) -> list[tuple]:
+        import pika
+
+        if not hasattr(self, "channel"):
+            self.channel = pika.BlockingConnection(pika.URLParameters(self.options["url"])).channel()
+        out = []
+        while len(out) < int(self.options.get("maxMessages", 10_000)):
+            method, properties, body = self.channel.basic_get(self.options["queue"])
+            if method is None:
+                break
+            self.last = method.delivery_tag
+            out.append((self.options["queue"], body.decode(errors="replace"), time.time_ns(), json.dumps({"routing_key": method.routing_key, "content_type": properties.content_type or ""})))
+        return out
+
+    def commit(self, end: dict) -> None:
+        super().commit(end)
+        if hasattr(self, "last"):
+            self.channel.basic_ack(self.last, multiple=True)
+
+
+def register_amqp(spark: SparkSession) -> None:
+    spark.dataSource.register(_source("amqp", _Amqp))
+
+
+def process_directory(folder: str) -> dict[str, dict[str, str]]:
+    """Options of a process source, by name, for each <folder>/<seconds>/<name>.toml with a command list in it.
+
+    Reading it again shows what came, went or changed; whoever runs the
+    queries starts and stops them by that.
+    """
+    import tomllib
+
+    out = {}
+    for path in sorted(glob.glob(os.path.join(folder, "*", "*.toml"))):
+        interval, name = path.split(os.sep)[-2], os.path.basename(path)[: -len(".toml")]
+        if not interval.isdigit():
+            continue
+        with open(path, "rb") as f:
+            made = tomllib.load(f)
+        out[f"{interval}/{name}"] = {"name": name, "interval": interval, "command": json.dumps(made["command"]), **{k: str(v) for k, v in made.items() if k != "command"}}
+    return out

@@ -84,3 +84,31 @@ def http_requests(spark: SparkSession, path: str, *, headers: Sequence[str] = ()
     bag = M.fields(*[M.field(n, F.col(c), "string") for n, c in plain.items()], *[M.field(h, F.try_element_at("headers", F.lit(h)), "string") for h in headers])
     params = F.transform(F.map_entries(F.coalesce("query", F.create_map().cast("map<string,array<string>>"))), lambda e: M.field(e["key"], e["value"], "string", is_array=True))
     return M.messages(rows, type=F.lit("http.request"), severity=F.lit(6), env_version=F.lit("1"), hostname=F.col("remote_addr"), payload=F.col("body"), timestamp=F.col("received"), fields=F.concat(bag, params))
+
+
+def tcp_lines(spark: SparkSession, host: str, port: int, *, type_: str = "tcp") -> DataFrame:
+    """Lines of a socket as a stream of messages; Spark's socket source, which keeps no offsets, so for trials only."""
+    rows = spark.readStream.format("socket").option("host", host).option("port", port).option("includeTimestamp", True).load()
+    return M.messages(rows, type=F.lit(type_), hostname=F.lit(host), payload=F.col("value"), timestamp=F.unix_micros("timestamp") * 1000)
+
+
+def amqp(spark: SparkSession, url: str, queue: str) -> DataFrame:
+    """Deliveries of a queue as a stream; needs the `pika` client on every machine."""
+    try:
+        import pika  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("reading AMQP needs the pika package") from e
+    from . import python_sources
+
+    python_sources.register_amqp(spark)
+    return python_sources.as_messages(spark.readStream.format("amqp").options(url=url, queue=queue).load(), type_="amqp")
+
+
+def cat(df: DataFrame, form: str = "txt") -> DataFrame:
+    """Stored messages for reading: form is txt (blocks), json, raw (framed protobuf) or count."""
+    from ..operators import encoders
+
+    if form == "count":
+        return df.agg(F.count(F.lit(1)).alias("n"))
+    line = {"txt": encoders.rst, "json": lambda: F.to_json(F.struct(M.uuid_text().alias("uuid"), *[c for c in M.ENVELOPE if c != "uuid"], "fields")), "raw": lambda: wire.encoded(framed=True)}[form]()
+    return df.select(line.alias("value"))
