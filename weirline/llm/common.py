@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +205,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/weirline-{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that this driver wrote to the shared folder and has not deleted.
+_STORED: list[str] = []
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Deletes the tables stored inside but the last, which is the result of the others."""
+    start = len(_STORED)
+    yield
+    delete(spark, _STORED[start:-1])
+
+
+def newest() -> list[str]:
+    """The table stored last."""
+    return _STORED[-1:]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables that no DataFrame in use reads."""
+    for path in list(paths):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _STORED.remove(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a new place in the shared folder and read again.
 
@@ -211,6 +237,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     tasks it ran and nothing else.
     """
     path = new_path(df.sparkSession, name)
+    _STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
