@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another; each one's tables go when its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        with common.cleaned(spark):
+            docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        common.delete(spark, before)
+        before = common.newest()
     return docs
