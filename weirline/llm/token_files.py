@@ -79,7 +79,7 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order: a dict would take ten times the memory
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _cuts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -100,21 +100,25 @@ class Encoder:
         cut[offs[:-1][offs[:-1] < len(data)]] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: list[int]) -> None:
-        """Encodes units that are not known."""
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encodes units that are not known; their places among the known ones."""
+        lengths = ends - starts + 1
+        data = np.append(data, np.uint8(0x0A))[np.minimum(C.ranges(starts, lengths), len(data))]  # the units alone, a byte apart
+        ends = np.cumsum(lengths) - 1
+        starts = ends - lengths + 1
+        data[ends] = 0x0A
         follows = np.append(data[1:], np.uint8(0))
-        odd = _WHITE[data] | (data < 0x20) | ((data == 0xC2) & ((follows == 0x85) | (follows == 0xA0))) | ((data == 0xE1) & (follows == 0x9A)) | ((data == 0xE2) & ((follows == 0x80) | (follows == 0x81))) | ((data == 0xE3) & (follows == 0x80))
-        upto = np.concatenate([[0], np.cumsum(odd)])
-        lines = upto[ends] - upto[np.minimum(starts + 1, ends)] == 0  # a space may come first
-        lines &= (data[starts] == 0x20) | ~odd[starts]
-        lines &= (ends - starts > 1) | (data[starts] != 0x20)
+        lead = data >= 0xC2
+        odd = _WHITE[data] | (data < 0x20)
+        odd |= lead & (((data == 0xC2) & ((follows == 0x85) | (follows == 0xA0))) | ((data == 0xE1) & (follows == 0x9A)) | ((data == 0xE2) & ((follows == 0x80) | (follows == 0x81))) | ((data == 0xE3) & (follows == 0x80)))
+        odd[ends] = False
+        odd[starts[(data[starts] == 0x20) & (lengths > 2)]] = False  # a space may come first
+        lines = np.add.reduceat(odd, starts, dtype=np.int64) == 0
         parts = []
         for own in np.array_split(np.flatnonzero(lines), max(1, int(lines.sum()) // 50_000)):
             if not len(own):
                 continue
-            lengths = ends[own] - starts[own] + 1
-            text = np.append(data, np.uint8(0x0A))[np.minimum(C.ranges(starts[own], lengths), len(data))]
-            text[np.cumsum(lengths) - 1] = 0x0A
+            text = data[C.ranges(starts[own], lengths[own])]
             ids = np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
             breaks = np.flatnonzero(ids == self.line_break)
             if len(breaks) != len(own):
@@ -127,10 +131,11 @@ class Encoder:
             got = [e.ids for e in self.tokenizer.encode_batch_fast([raw[starts[k] : ends[k]].decode() for k in single], add_special_tokens=False)]
             parts.append((single, np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)))
         place = len(self.ends) - 1
-        order = np.concatenate([p for p, _, _ in parts])
-        self.known.update(zip([keys[k] for k in order.tolist()], range(place, place + len(order)), strict=True))
         self.ids = np.concatenate([self.ids, *[ids for _, ids, _ in parts]])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([n for _, _, n in parts]))])
+        out = np.empty(len(starts), np.int64)
+        out[np.concatenate([p for p, _, _ in parts])] = np.arange(place, place + len(starts))
+        return out
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts."""
@@ -141,11 +146,15 @@ class Encoder:
         hashes, first, which = np.unique(C.byte_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > CACHED_UNITS:
             self.reset()
-        keys = hashes.tolist()
-        missing = np.array([k for k, h in enumerate(keys) if h not in self.known], np.int64)
+        at = np.searchsorted(self.known, hashes)
+        inside = np.minimum(at, max(len(self.known) - 1, 0))
+        seen = self.known[inside] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+        unit = np.where(seen, self.places[inside], -1) if len(self.known) else np.full(len(hashes), -1)
+        missing = np.flatnonzero(~seen)
         if len(missing):
-            self._learn(data, starts[first[missing]], ends[first[missing]], hashes[missing].tolist())
-        unit = np.array([self.known[h] for h in keys])[which]
+            unit[missing] = self._learn(data, starts[first[missing]], ends[first[missing]])
+            self.known, self.places = np.insert(self.known, at[missing], hashes[missing]), np.insert(self.places, at[missing], unit[missing])
+        unit = unit[which]
         lengths = (self.ends[1:] - self.ends[:-1])[unit]
         ids = self.ids[C.ranges(self.ends[unit], lengths)]
         return ids, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offs)]
