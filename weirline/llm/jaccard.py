@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 NGRAM, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 6
-TILE = 1024  # classes in a block of a component
+TILE = 512  # classes in a block of a component
 _WORD = ~C.SPACE
 NO_ID = int(np.iinfo(np.int64).min)
 
