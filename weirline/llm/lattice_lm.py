@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from . import common as C
 FOLDS, HELD_OUT = 5, 1
 EM_STEPS = 3
 SMOOTHING = 0.1  # of a count, for each piece
+STRETCH = 1 << 14  # bytes of a long word whose edges are held at once
 _WORD = ~C.SPACE
 _BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.uint64(42)
@@ -127,6 +129,42 @@ class Lattice:
                     alpha[at + n] = b + math.log1p(math.exp(a - b)) if a < b else a + math.log1p(math.exp(b - a))
         return alpha[-1]
 
+    def long_expected(self, word: bytes) -> np.ndarray:
+        """The pieces' expected counts in one word of any length: of the edges only one stretch's are
+        held, and they are made again going backwards."""
+        length = len(word)
+        padded = np.frombuffer(word + bytes(self.longest), np.uint8)
+        windows = np.lib.stride_tricks.sliding_window_view(padded, self.longest)[:length]
+        alpha = array("d", [-math.inf]) * (length + 1)
+        alpha[0] = 0.0
+        for first in range(0, length, STRETCH):
+            at, to, pieces = self._stretch(windows, first)
+            for i, j, p in zip(at.tolist(), to.tolist(), self.log_p[pieces].tolist(), strict=True):
+                a, b = alpha[j], alpha[i] + p
+                if b > -math.inf:
+                    alpha[j] = b + math.log1p(math.exp(a - b)) if a < b else a + math.log1p(math.exp(b - a))
+        beta = array("d", [-math.inf]) * (length + 1)
+        beta[length] = 0.0
+        expected = np.zeros(len(self.log_p))
+        before, after = np.frombuffer(alpha), np.frombuffer(beta)
+        for first in reversed(range(0, length, STRETCH)):
+            at, to, pieces = self._stretch(windows, first)
+            for i, j, p in zip(at[::-1].tolist(), to[::-1].tolist(), self.log_p[pieces[::-1]].tolist(), strict=True):
+                a, b = beta[i], beta[j] + p
+                if b > -math.inf:
+                    beta[i] = b + math.log1p(math.exp(a - b)) if a < b else a + math.log1p(math.exp(b - a))
+            expected += np.bincount(pieces, np.exp(before[at] + self.log_p[pieces] + after[to] - alpha[length]), len(expected))
+        return expected
+
+    def _stretch(self, windows: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece) of the edges that begin in one stretch of a word, in order of their begin."""
+        none = np.zeros(0, np.int64)
+        edges = [(none, none, none), *((rows + first, rows + first + n, pieces) for n, rows, pieces in self._edges(windows[first : first + STRETCH], 0))]
+        at, to, pieces = (np.concatenate(x) for x in zip(*edges, strict=True))
+        inside = np.flatnonzero(to <= len(windows))  # and not in the padding
+        inside = inside[np.argsort(at[inside], kind="stable")]
+        return at[inside], to[inside], pieces[inside]
+
     def _groups(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
         """(rows, letters) of words of one length, at most 20,000 of them."""
         order = np.argsort(lengths, kind="stable")
@@ -151,8 +189,11 @@ class Lattice:
     def expected(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
         total = np.zeros(len(self.log_p))
         for rows, letters in self._groups(data, starts, lengths):
-            if letters.shape[1] <= 1000 or len(rows) >= 8:
+            if letters.shape[1] <= 1000:
                 total += self.run(letters, counts[rows])
+            else:  # run() would hold all edges of all places
+                for word, n in zip(letters, counts[rows].tolist(), strict=True):
+                    total += n * self.long_expected(word.tobytes())
         return total
 
 
