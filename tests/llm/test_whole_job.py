@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from weirline.llm import lattice_lm
+from weirline.llm import jaccard, lattice_lm
 
 # 6
 
@@ -47,3 +47,15 @@ def test_lattice_learns_from_rare_long_words(monkeypatch, stretch):
     alone = lattice.expected(np.frombuffer(many[3], np.uint8), np.array([0]), lengths[3:4], np.ones(1))
     assert lattice.expected(np.frombuffer(many[3] * 8, np.uint8), np.arange(8) * 1300, np.full(8, 1300), np.ones(8)) == pytest.approx(8 * alone)
     assert lattice.run(np.frombuffer(b" " + many[3], np.uint8)[None, :], np.ones(1)) == pytest.approx(alone)
+
+
+# 9
+
+
+def test_jaccard_links_pairs_that_share_no_band(spark):
+    """Of 40 near copies of 200 words, with so few bands that some pairs meet only through a third."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(n, " ".join([*base[: 4 * n], f"changed{n}", *base[4 * n + 1 :]])) for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(docs, recall=0.6, tile=16).collect()}
+    assert got == {n: (0, 39) for n in range(40)}  # 186 of 206 grams or more are common

@@ -6,9 +6,9 @@
    target probability.  Rows (band hash, class) are shuffled by hash.
 3. The classes of one band hash are joined to the smallest of them, a star and
    not all pairs; the stars' connected components hold every candidate pair.
-4. Each component's full sets are brought together once, and pairs that share
-   a band are verified by counting common 5-grams with products of incidence
-   matrices.  A large component is dealt out in tiles of two blocks, so that no
+4. Each component's full sets are brought together once, and all its pairs are
+   verified by counting common 5-grams with products of incidence matrices,
+   whether or not they share a band themselves.  A large component is dealt out in tiles of two blocks, so that no
    task holds more; rows come out per class, never per pair.
 5. Verified links make the near-duplicate groups, as components again.
 """
@@ -143,19 +143,15 @@ def _count_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(grams: tuple, codes: tuple, threshold: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows, columns) that share a band and reach the threshold; of one list, each pair once."""
+def _linked(grams: tuple, threshold: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows, columns) that reach the threshold; of one list, each pair once."""
     common = _count_common(*grams).astype(np.int64)
     size = [np.array([len(g) for g in x], np.int64) for x in grams]
     union = size[0][:, None] + size[1][None, :] - common
     rows, columns = np.nonzero((common * 1000 >= round(threshold * 1000) * union) & (common > 0))
     if own:
         rows, columns = rows[rows < columns], columns[rows < columns]
-    shares = np.zeros(len(rows), bool)
-    for k in range(0, len(rows), 100_000):
-        part = slice(k, k + 100_000)
-        shares[part] = (codes[0][rows[part]] == codes[1][columns[part]]).any(axis=1)
-    return rows[shares], columns[shares]
+    return rows, columns
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,7 +179,6 @@ def _verify(threshold: float):
         part, side, node = part[first], side[first], node[first]
         table = table.take(pa.array(first))
         copies = table.column("_copies").to_numpy()
-        codes = np.array(table.column("_codes").to_pylist(), np.int64)
         grams = [np.frombuffer(g, np.uint64) for g in table.column("_grams").to_pylist()]
         links, a_all, b_all = np.zeros(len(node), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         cut = np.append(C.runs(part), len(part))
@@ -194,7 +189,7 @@ def _verify(threshold: float):
             if mid == lo or (own and hi - lo < 2):
                 continue
             left_grams = grams[left]
-            rows, columns = _linked((left_grams, left_grams if own else grams[right]), (codes[left], codes[right]), threshold, own)
+            rows, columns = _linked((left_grams, left_grams if own else grams[right]), threshold, own)
             rows, columns = rows + left.start, columns + right.start
             np.add.at(links, rows, copies[columns])
             np.add.at(links, columns, copies[rows])
@@ -241,10 +236,10 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, ngram: int, threshold: flo
 
     sized = kinds.join(parts, "_node")
     blocks = sized.groupBy("_part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("_n") / (tile * 1000))).cast("int").alias("_blocks"))
-    chosen = C.checkpointed(sized.join(blocks, "_part").select("_node", "_part", "_blocks", "_copies", "_codes", "_n", "_first", "_h1", "_h2"))
+    chosen = C.checkpointed(sized.join(blocks, "_part").select("_node", "_part", "_blocks", "_copies", "_n", "_first", "_h1", "_h2"))
     packs = 1 + (chosen.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]) // 500_000
     same_text = (texts["_h1"] == chosen["_h1"]) & (texts["_h2"] == chosen["_h2"]) & (texts["_id"] == chosen["_first"])
-    sets = texts.join(chosen, same_text).select("_text", "_node", "_part", "_blocks", "_copies", "_codes").mapInArrow(_with_grams(ngram), "_node long, _part long, _blocks int, _copies long, _codes array<long>, _grams binary")
+    sets = texts.join(chosen, same_text).select("_text", "_node", "_part", "_blocks", "_copies").mapInArrow(_with_grams(ngram), "_node long, _part long, _blocks int, _copies long, _grams binary")
     own = F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")
     tiled = sets.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     single = F.col("_blocks") == 1
@@ -252,7 +247,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, ngram: int, threshold: flo
         F.when(single, F.pmod(F.xxhash64("_part"), F.lit(packs))).otherwise(F.col("_part")).alias("_pack"),
         F.when(single, F.lit(-1)).otherwise(F.least("_own", "_other") * F.col("_blocks") + F.greatest("_own", "_other")).alias("_tile"),
         (F.col("_own") > F.col("_other")).cast("int").alias("_side"),
-        "_part", "_node", "_copies", "_codes", "_grams",
+        "_part", "_node", "_copies", "_grams",
     )
     found = C.checkpointed(tiled.groupBy("_pack", "_tile").applyInArrow(_verify(threshold), LINKS))
     links = found.groupBy("_node").agg(F.sum("_links").alias("_links"))
