@@ -59,3 +59,12 @@ def test_jaccard_links_pairs_that_share_no_band(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(docs, recall=0.6, tile=16).collect()}
     assert got == {n: (0, 39) for n in range(40)}  # 186 of 206 grams or more are common
+
+
+def test_jaccard_counts_once_in_empty_blocks(spark):
+    """30 pairs of near copies in two blocks each: in a quarter of them both copies fall in the first."""
+    near = lambda n, end: " ".join([*(f"p{n}w{k}" for k in range(60)), end])
+    rows = [(2 * n + k, near(n, end)) for n in range(30) for k, end in enumerate(("one", "two"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(docs, tile=1).collect()}
+    assert got == {n: (n - n % 2, 1) for n, _ in rows}

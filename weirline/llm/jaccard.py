@@ -178,15 +178,15 @@ def _verify(threshold: float):
         first = first[np.lexsort((node[first], side[first], part[first]))]
         part, side, node = part[first], side[first], node[first]
         table = table.take(pa.array(first))
-        copies = table.column("_copies").to_numpy()
+        copies, diagonal = table.column("_copies").to_numpy(), table.column("_diagonal").to_numpy(zero_copy_only=False)
         grams = [np.frombuffer(g, np.uint64) for g in table.column("_grams").to_pylist()]
         links, a_all, b_all = np.zeros(len(node), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         cut = np.append(C.runs(part), len(part))
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             mid = lo + int(np.searchsorted(side[lo:hi], 1))
-            own = mid == hi
+            own = bool(diagonal[lo])
             left, right = slice(lo, mid), slice(lo, hi) if own else slice(mid, hi)
-            if mid == lo or (own and hi - lo < 2):
+            if hi - lo < 2 if own else mid in (lo, hi):  # a block may be empty
                 continue
             left_grams = grams[left]
             rows, columns = _linked((left_grams, left_grams if own else grams[right]), threshold, own)
@@ -247,6 +247,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, ngram: int, threshold: flo
         F.when(single, F.pmod(F.xxhash64("_part"), F.lit(packs))).otherwise(F.col("_part")).alias("_pack"),
         F.when(single, F.lit(-1)).otherwise(F.least("_own", "_other") * F.col("_blocks") + F.greatest("_own", "_other")).alias("_tile"),
         (F.col("_own") > F.col("_other")).cast("int").alias("_side"),
+        (F.col("_own") == F.col("_other")).alias("_diagonal"),
         "_part", "_node", "_copies", "_grams",
     )
     found = C.checkpointed(tiled.groupBy("_pack", "_tile").applyInArrow(_verify(threshold), LINKS))
