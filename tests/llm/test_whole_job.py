@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from weirline.llm import jaccard, lattice_lm
+from weirline.llm import decontamination, jaccard, lattice_lm, quality
 
 # 6
 
@@ -68,3 +69,23 @@ def test_jaccard_counts_once_in_empty_blocks(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(docs, tile=1).collect()}
     assert got == {n: (n - n % 2, 1) for n, _ in rows}
+
+
+# 4 and 1: documents with columns of the stages' own names
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, rows, empty):
+    judged = quality.judge(docs, name="verdict").where("verdict.kept").drop("verdict")
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns and kept.schema["quality"].dataType == docs.schema["quality"].dataType
+    assert Counter(kept.collect()) == Counter(judged.collect())
+    bench = spark.createDataFrame([("1", rows[7][1])], "item_id string, text string")
+    left = decontamination.remove(docs, bench)
+    assert left.columns == docs.columns and left.schema["contamination"].dataType == docs.schema["contamination"].dataType
+    clean = Counter(r.doc_id for r in decontamination.mark(docs, bench).where("contamination.n_hit = 0").collect())
+    found = left.collect()
+    assert 0 < len(found) < len(rows) and Counter(r.doc_id for r in found) == clean
+    assert not Counter(found) - Counter(docs.collect())
+    cut = decontamination.remove(docs, bench, what="spans", n_chars="n_chars")
+    assert cut.columns == docs.columns and {r.contamination for r in cut.collect()} == {"x"}
+    assert decontamination.remove(empty, bench).count() == 0 and quality.keep(empty).count() == 0

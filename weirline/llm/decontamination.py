@@ -129,13 +129,15 @@ def _joined(old: dict | None, words: C.Words, first: int, end: int, start: int,
 def remove(docs: DataFrame, benchmark: DataFrame, *, what: str = "documents", text: str = "text", n_chars: str | None = None, **options) -> DataFrame:
     """docs without contaminated documents, or (what="spans") with the hit spans cut out of
     their texts and n_chars, if named, set anew."""
-    marked = mark(docs, benchmark, text=text, **options)
+    number = {c: f"_{k}" for k, c in enumerate(docs.columns)}  # so that no name of docs can clash
+    marked = mark(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in number.items()]), benchmark, text=number[text], **options)
+    back = [F.col(n).alias(c) for c, n in number.items()]
     if what == "documents":
-        return marked.where("contamination.n_hit = 0").drop("contamination")
-    cut = marked.withColumn(text, F.udf(_cut, "string", useArrow=True)(F.col(text), F.col("contamination.spans")))
+        return marked.where("contamination.n_hit = 0").select(*back)
+    cut = marked.withColumn(number[text], F.udf(_cut, "string", useArrow=True)(F.col(number[text]), F.col("contamination.spans")))
     if n_chars:
-        cut = cut.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return cut.select(*docs.columns)
+        cut = cut.withColumn(number[n_chars], F.length(number[text]).cast(docs.schema[n_chars].dataType))
+    return cut.select(*back)
 
 
 def _cut(text: str | None, spans: list | None) -> str | None:

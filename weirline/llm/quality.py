@@ -173,6 +173,19 @@ def estimates(measured: DataFrame, lang: str, source: str, name: str = "quality"
     return C.checkpointed(groups.join(found, "_group").drop("_group"))
 
 
+def _judged(docs: DataFrame, want: Sequence[str], text: str, lang: str, source: str, cutoff: float) -> DataFrame:
+    """_doc, the wanted columns, and _verdict of every row; inside, columns go by numbers, so that no name of docs can clash."""
+    columns = list(dict.fromkeys([*want, text, lang, source]))
+    number = {c: f"_{k}" for k, c in enumerate(columns)}
+    named = lambda cs: docs.select(*[F.col(f"`{c}`").alias(number[c]) for c in cs])
+    found = estimates(measure(named(dict.fromkeys([text, lang, source])), number[text], "_m"), number[lang], number[source], "_m")
+    packed = measure(named(columns), number[text], "_m").select(F.struct(*[F.col(number[c]).alias(c) for c in want]).alias("_doc"), F.col("_m").alias("_q"), _key(number[lang], number[source]).alias("_key"))
+    q = F.col("_q")
+    distance = F.when(F.col("_mean").isNotNull(), _distance("_q.x", "_mean", "_inverse"))
+    verdict = ~q.base_failed & F.coalesce(distance <= cutoff, F.lit(True))
+    return packed.join(_small(found), "_key", "left").select("_doc", F.struct(*[q[b].alias(b) for b in BASE], q.base_failed.alias("base_failed"), distance.alias("distance"), verdict.alias("kept")).alias("_verdict"))
+
+
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", name: str = "quality", cutoff: float = CUTOFF, columns: Sequence[str] | None = None) -> DataFrame:
     """The asked columns of docs (all by default) with a struct column: the base statistics, base_failed,
     distance (squared; null if there is no estimate) and kept.
@@ -182,20 +195,12 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     alike.  A column of that name is replaced.  An empty table gives an empty
     result.
     """
-    found = estimates(measure(docs.select(text, lang, source), text, name), lang, source, name)
     want = list(columns) if columns is not None else [c for c in docs.columns if c.lower() != name]
-    measured = measure(docs.select(*dict.fromkeys([*(f"`{c}`" for c in want), *(f"`{c}`" for c in (text, lang, source))])), text, name)
-    packed = measured.select(F.struct(*[F.col(f"`{c}`") for c in want]).alias("_doc"), F.col(name).alias("_q"), _key(lang, source).alias("_key"))  # no name of docs can clash
-    joined = packed.join(_small(found), "_key", "left")
-    q = F.col("_q")
-    distance = F.when(F.col("_mean").isNotNull(), _distance("_q.x", "_mean", "_inverse"))
-    verdict = ~q.base_failed & F.coalesce(distance <= cutoff, F.lit(True))
-    return joined.select("_doc.*", F.struct(*[q[b].alias(b) for b in BASE], q.base_failed.alias("base_failed"), distance.alias("distance"), verdict.alias("kept")).alias(name))
+    return _judged(docs, want, text, lang, source, cutoff).select("_doc.*", F.col("_verdict").alias(name))
 
 
-def keep(docs: DataFrame, *, name: str = "quality", **options) -> DataFrame:
-    """The rows of docs that every rule keeps, unchanged."""
-    judged = judge(docs, name=name, **options)
-    if any(c.lower() == name for c in docs.columns):
-        raise ValueError(f"a column is called {name}: choose another name")
-    return judged.where(F.col(name).kept).drop(name)
+def keep(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", name: str = "quality", cutoff: float = CUTOFF, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of docs (or the asked columns of them) that every rule keeps, unchanged; name is not in
+    use, and columns may have any names."""
+    want = list(columns) if columns is not None else docs.columns
+    return _judged(docs, want, text, lang, source, cutoff).where("_verdict.kept").select("_doc.*")
