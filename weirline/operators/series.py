@@ -139,6 +139,6 @@ def parse(df: DataFrame, payload: str = "payload", keys: Sequence[str] = ()) ->
     """keys, bucket_start, col, value: the dense text back in long form."""
     lines = F.split(F.col(payload), "\n")
     head = F.from_json(F.get(lines, F.lit(0)), "time bigint, rows int, columns int, seconds_per_row int, column_info array<struct<name:string,unit:string,aggregation:string>>")
-    rows = df.select(*keys, head.alias("_head"), F.posexplode(F.slice(lines, 2, 1_000_000)).alias("_row", "_line"))
-    cells = rows.where(F.col("_line") != "").select(*keys, (F.col("_head.time") + F.col("_row") * F.col("_head.seconds_per_row")).alias("bucket_start"), "_head", F.posexplode(F.split("_line", "\t")).alias("_k", "_text"))
+    rows = df.select(*keys, head.alias("_head"), F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("_row", "_line"))
+    cells = rows.where(F.col("_line") != "").select(*keys, (F.col("_head.time") + F.col("_row").cast("long") * F.col("_head.seconds_per_row")).alias("bucket_start"), "_head", F.posexplode(F.split("_line", "\t")).alias("_k", "_text"))
     return cells.where(F.col("_text") != "nan").select(*keys, "bucket_start", F.get(F.col("_head.column_info"), F.col("_k"))["name"].alias("col"), F.col("_text").cast("double").alias("value"))

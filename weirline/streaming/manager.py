@@ -41,7 +41,7 @@ class QueryManager:
         now = self.clock()
         fresh = (F.col("type") == "control") & (F.col("signer") == self.signer) & (F.abs(F.col("timestamp") - F.lit(now)) < MAX_SKEW_NS)
         orders = messages.where(fresh).select("timestamp", M.text("action").alias("action"), M.text("name").alias("name")).orderBy("timestamp")
-        for order in orders.take(1000):  # orders within five seconds
+        for order in orders.toLocalIterator():  # all, and a part of them here at a time
             if order.action == "load" and order.name in self.loadable:
                 self.load(order.name)
             elif order.action == "unload":
