@@ -1,15 +1,13 @@
-"""Substring dedup (operator 3): parsing documents relative to reference blocks.
+"""Substring dedup (operator 3): a join of word windows by hash, in place of relative Lempel-Ziv parsing.
 
 The corpus is its own reference.  It is cut into blocks of documents, and each
 block is indexed: every phrase of 13 words that starts in it, with the smallest
 document that holds it.  The blocks' indexes meet by phrase, in buckets of the
 hash range, and each block learns which of its phrases start in an earlier
-document of any block.  Then every document is parsed greedily from the left:
-where an indexed phrase begins, a factor begins and goes on for as long as the
-next phrase is indexed too; a word that no phrase covers is a literal.  A
-factor's end is a boundary, and since the lookup is made at each word, phrases
-that begin inside one factor and reach over its boundary are found as well, so
-the factors' union is exactly the words that windows of 13 cover.
+document of any block.  The words that those windows cover are removed.  There is no
+parse from the left into factors (block, position, length) and so no boundary
+check: a window is looked up at each word, which finds every repeat of 13 words
+and more exactly.
 
 Only hashes travel, each block's own copies of a phrase as one entry; the
 answer is one bit for each.  Blocks and buckets are of bounded size, whatever a
