@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the operators' contracts: space and the five control characters from tab on.
@@ -131,18 +131,42 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_sums(words: np.ndarray) -> np.ndarray:
+    """Prefix sums from which word_hashes() takes the hash of any run of words."""
+    up, _ = _WORDS.upto(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.multiply(words, up[: len(words)], out=sums[1:])
+    np.cumsum(sums, out=sums)
+    return sums
+
+
+def word_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the words from start to end (exclusive) for each pair."""
+    _, down = _WORDS.upto(len(sums))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of size word hashes; as many as there are starts."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _WORDS.upto(len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.multiply(words, up[: len(words)], out=sums[1:])
-    np.cumsum(sums, out=sums)
+    _, down = _WORDS.upto(len(words) + 1)
+    sums = word_sums(words)
     return mix((sums[size:] - sums[:n]) * down[:n] + np.uint64(size))
 
 
+def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of each size neighbouring values, by doubling spans."""
+    span = 1
+    while span * 2 <= size:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    if span < size:
+        values = np.minimum(values[: len(values) - (size - span)], values[size - span :])
+    return values
+
+
 def within(first: np.ndarray, total: int, size: int) -> np.ndarray:
     """Which window starts lie in one text: no window may cross into the next."""
     ok = np.zeros(max(0, total - size + 1), bool)
@@ -179,12 +203,14 @@ def kept_words(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; set here only where the session has none, as in tests."""
+    """The folder that all executors see; set here only for a local master, where it may be any folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = context.get() if context.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="weirline-")
@@ -211,9 +237,13 @@ _STORED: list[str] = []
 
 @contextmanager
 def cleaned(spark: SparkSession):
-    """Deletes the tables stored inside but the last, which is the result of the others."""
+    """Deletes the tables stored inside but the last, which is the result of the others; all if an error ends the block."""
     start = len(_STORED)
-    yield
+    try:
+        yield
+    except BaseException:
+        delete(spark, _STORED[start:])
+        raise
     delete(spark, _STORED[start:-1])
 
 
@@ -244,7 +274,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def text_bytes(df: DataFrame, text: str) -> int:
     """Bytes of all texts."""
-    return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(col(text))), F.lit(0))).first()[0])
+
+
+def col(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def integer_id(df: DataFrame, doc_id: str) -> DataFrame:
+    """df, if its ids are integers; TypeError before any job if they are not."""
+    kind = df.schema[doc_id].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{doc_id} must be an integer column, not {kind}")
+    return df
 
 
 def in_blocks(df: DataFrame, doc_id: str, text: str, total: int, block_bytes: int = 6 << 20) -> DataFrame:
@@ -255,9 +298,10 @@ def in_blocks(df: DataFrame, doc_id: str, text: str, total: int, block_bytes: in
     spread over all blocks.  Rows equal in id and text may swap places, which
     changes nothing.
     """
-    row = F.xxhash64(F.col(doc_id), F.col(text))
+    integer_id(df, doc_id)
     n = max(1, -(-total // block_bytes))
-    return df.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), row.alias("_row")).withColumn("_block", F.pmod("_row", F.lit(n)).cast("int"))
+    row = F.xxhash64(col(doc_id), col(text))
+    return df.select(col(doc_id).cast("long").alias("_id"), col(text).alias("_text"), row.alias("_row")).withColumn("_block", F.pmod("_row", F.lit(n)).cast("int"))
 
 
 def in_order(table: pa.Table) -> pa.Table:

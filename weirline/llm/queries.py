@@ -35,7 +35,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 13 words and more that an earlier document holds are removed."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return relative_lz.dedup_substrings(docs, with_text=False).drop("text", "spans")
+    return relative_lz.dedup_substrings(docs, with_text=False).drop("text", "spans", "factors")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
