@@ -139,9 +139,9 @@ def test_quality(docs, rows, empty):
     got = Counter((r.doc_id, *[r.quality[b] for b in quality.BASE], r.quality.base_failed) for r in out.collect())
     assert got == Counter((i, *base(t)) for i, t, *_ in rows)
     assert all(not (r.quality.kept and r.quality.base_failed) for r in out.collect())
-    kept = quality.keep(docs, name="verdict")
+    kept = quality.keep(docs)
     assert kept.columns == docs.columns and kept.count() == out.where("quality.kept").count()
-    assert quality.keep(empty, name="verdict").count() == 0
+    assert quality.keep(empty).count() == 0
 
 
 def test_quality_finds_what_lies_far_off(spark):

@@ -1,19 +1,25 @@
 """Quality rules (operator 4): robust multivariate outliers by minimum covariance determinant.
 
 Each document has a vector of transformed statistics.  Per language and source,
-the minimum-covariance-determinant estimate finds the three quarters of the
-documents whose covariance is tightest, by concentration steps, and documents
-whose Mahalanobis distance from that core is too large are rejected.
+the minimum-covariance-determinant estimate is the mean and covariance of the
+three quarters of the documents whose covariance has the least determinant.
+Concentration steps find it from two deterministic starts, medians with
+quartile ranges and the correlations of the vectors squeezed by tanh; each
+start goes on until its determinant stands still, and the lesser one counts.
+The covariance is scaled so that it is right for normal vectors, and documents
+go whose squared Mahalanobis distance is over a chi-square quantile.
 
 A concentration step is one aggregation: counts, sums and cross products by
 group and by a fine logarithmic bin of the distance.  Bins from the smallest
-distance up to the group's three-quarter mark are summed to the next mean and
-covariance.  All documents of all groups take part, and no group's rows ever
-meet in one task, however large its share.
+distance up to the group's three-quarter mark, the last one by its share, are
+summed to the next mean and covariance.  All documents of all groups take
+part, and no group's rows ever meet in one task, however large its share.
+Texts are measured once; what follows reads the narrow table of measures.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,9 +34,11 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The statistics and the standard deviation that each is taken to have at least, in its transformed unit.
 STATISTICS = {"word_length": 0.10, "symbols": 0.10, "capitals": 0.05, "digits": 0.10, "marks": 0.08, "dup_lines": 0.20, "repeats": 0.12}
 P = len(STATISTICS)
-CORE, STEPS, LEAST_GROUP, BINS = 0.75, 6, 100, 16
-#: Squared distance over which a document is rejected.
-CUTOFF = 30.0
+CORE, STEPS, LEAST_GROUP, BINS = 0.75, 20, 100, 16
+#: A start has settled when the logarithm of its determinant moves by less.
+SETTLED = 0.001
+#: Of the chi-square distribution of P degrees of freedom: documents beyond this share of it are rejected.
+LEVEL = 0.999
 #: Groups up to which their estimates are broadcast: a row of under 1 kB each.
 BROADCAST_GROUPS = 10_000
 _WORD = ~C.SPACE
@@ -90,7 +98,7 @@ def measure(docs: DataFrame, text: str = "text", name: str = "quality") -> DataF
     """docs with a struct column of the statistics of whole texts; a null text has no words."""
     kept = [c for c in docs.columns if c.lower() != name]
     at = kept.index(text)
-    before = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast(MEASURES).alias(name))
+    before = docs.select(*[C.col(c) for c in kept], F.lit(None).cast(MEASURES).alias(name))
 
     def run(batches):
         for batch in batches:
@@ -106,37 +114,78 @@ def measure(docs: DataFrame, text: str = "text", name: str = "quality") -> DataF
 
 
 def _distance(x: str, mean: str, inverse: str) -> Column:
-    """Squared Mahalanobis distance, as an expression over arrays."""
-    diff = [f"({x}[{i}] - {mean}[{i}])" for i in range(P)]
-    return F.expr(" + ".join(f"{diff[i]} * {diff[j]} * {inverse}[{P * i + j}]" for i in range(P) for j in range(P)))
-
-
-ESTIMATE = "_group string, _mean array<double>, _inverse array<double>"
+    """Squared Mahalanobis distance, folded over the cells of the inverse: written out, it would be too long to compile well."""
+    diff = F.zip_with(x, mean, lambda a, b: a - b)
+    cell = lambda d, k: d[F.floor(k / P).cast("int")] * d[F.pmod(k, F.lit(P))] * F.col(inverse)[k]
+    fold = lambda d: F.aggregate(F.sequence(F.lit(0), F.lit(P * P - 1)), F.lit(0.0), lambda total, k: total + cell(d, k))
+    return F.transform(F.array(diff), fold)[0]
+
+
+def _gamma_share(a: float, x: float) -> float:
+    """The regularised lower incomplete gamma function, by its power series."""
+    term = total = 1 / a
+    n = 0
+    while term > total * 1e-16:
+        n += 1
+        term *= x / (a + n)
+        total += term
+    return total * math.exp(a * math.log(x) - x - math.lgamma(a))
+
+
+def chi_square(share: float, freedom: int = P) -> float:
+    """The quantile of the chi-square distribution, by bisection."""
+    low, high = 1e-9, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _gamma_share(freedom / 2, middle / 2) < share else (low, middle)
+    return low
+
+
+#: The covariance of the nearest share of normal vectors, times this, is that of all.
+CONSISTENT = CORE / _gamma_share(P / 2 + 1, chi_square(CORE) / 2)
+ESTIMATE = "_group string, _start int, _mean array<double>, _inverse array<double>, _logdet double, _moved double"
+_ESTIMATE = pa.schema([("_group", pa.string()), ("_start", pa.int32()), ("_mean", pa.list_(pa.float64())), ("_inverse", pa.list_(pa.float64())), ("_logdet", pa.float64()), ("_moved", pa.float64())])
 _FLOOR = np.array(list(STATISTICS.values()))
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def _start(table: pa.Table) -> pa.Table:
-    """Medians, and squared interquartile ranges on the diagonal, of each group."""
-    quartiles = np.array(table.column("_q").to_pylist()).reshape(-1, P, 3)
-    spread = np.maximum((quartiles[:, :, 2] - quartiles[:, :, 0]) / 1.349, _FLOOR)
-    inverse = [np.diag(1 / s**2).reshape(-1).tolist() for s in spread]
-    return pa.table({"_group": table.column("_group"), "_mean": quartiles[:, :, 1].tolist(), "_inverse": inverse})
-
-
-def _concentrate(table: pa.Table) -> pa.Table:
-    """One group's sums by bin of distance: the mean and covariance of its nearest share."""
-    table = table.sort_by("_bin")
-    n = table.column("_n").to_numpy().astype(float)
-    upto = int(np.searchsorted(np.cumsum(n), CORE * n.sum())) + 1
-    sums = np.array(table.column("_sums").to_pylist())[:upto].sum(axis=0)
-    n = n[:upto].sum()
+def _covariance(sums: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray]:
     mean = sums[:P] / n
     cov = np.empty((P, P))
     for k, (i, j) in enumerate(_PAIRS):
         cov[i, j] = cov[j, i] = sums[P + k] / n - mean[i] * mean[j]
-    inverse = np.linalg.inv(cov + np.diag(_FLOOR**2))
-    return pa.table({"_group": table.column("_group").slice(0, 1), "_mean": [mean.tolist()], "_inverse": [inverse.reshape(-1).tolist()]})
+    return mean, cov
+
+
+def _estimate(group: str, start: int, mean: np.ndarray, cov: np.ndarray, was: float = math.inf) -> dict:
+    cov = cov + np.diag(_FLOOR**2)
+    logdet = float(np.linalg.slogdet(cov)[1])
+    return {"_group": group, "_start": start, "_mean": mean.tolist(), "_inverse": np.linalg.inv(cov).reshape(-1).tolist(), "_logdet": logdet, "_moved": abs(logdet - was)}
+
+
+def _first(table: pa.Table) -> pa.Table:
+    """A group's two starts, from its quartiles and the sums of its squeezed vectors."""
+    group = table.column("_group")[0].as_py()
+    middle, spread = (x[0] for x in _spread(np.array(table.column("_q")[0].as_py())))
+    _, squeezed = _covariance(np.array(table.column("_sums").to_pylist()).sum(axis=0), table.column("_n").to_numpy().sum())
+    size = np.sqrt(np.maximum(np.diag(squeezed), 1e-12))
+    alike = squeezed / np.outer(size, size)
+    np.fill_diagonal(alike, 1.0)
+    starts = [_estimate(group, k, middle, c) for k, c in enumerate((np.diag(spread**2), alike * np.outer(spread, spread)))]
+    return pa.Table.from_pylist(starts, schema=_ESTIMATE)
+
+
+def _concentrate(table: pa.Table) -> pa.Table:
+    """One group's sums by bin of distance: the mean and covariance of its nearest share."""
+    bins, which = np.unique(table.column("_bin").to_numpy(), return_inverse=True)
+    n, sums = np.zeros(len(bins)), np.zeros((len(bins), P + len(_PAIRS)))
+    np.add.at(n, which, table.column("_n").to_numpy())
+    np.add.at(sums, which, np.array(table.column("_sums").to_pylist()))
+    before = np.cumsum(n) - n
+    weight = np.clip((CORE * n.sum() - before) / n, 0, 1)
+    mean, cov = _covariance(weight @ sums, weight @ n)
+    first = table.slice(0, 1).to_pylist()[0]
+    return pa.Table.from_pylist([_estimate(first["_group"], first["_start"], mean, CONSISTENT * cov, first["_logdet"])], schema=_ESTIMATE)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -145,62 +194,141 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _key(lang: str, source: str) -> Column:
-    named = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
-    return F.concat(named(lang), F.lit("\x01"), named(source))
+    """The group's key: a hash of bounded length, with the language's before it, so that names of any length do."""
+    named = lambda c: F.md5(F.coalesce(F.concat(F.lit("v"), C.col(c).cast("string")), F.lit("n")))
+    return F.concat(named(lang), F.lit("/"), named(source))
+
+
+class _Totals:
+    """Counts, sums and cross products of vectors by group, start and bin: a task's share of an aggregation."""
+
+    ROWS = 50_000  # held before they go out
+
+    def __init__(self) -> None:
+        self.held: dict[tuple, np.ndarray] = {}
+
+    def add(self, groups: pa.Array, starts: np.ndarray, bins: np.ndarray, x: np.ndarray) -> None:
+        groups = groups.dictionary_encode()
+        code = (groups.indices.to_numpy().astype(np.int64) * 2 + starts) * 4096 + (bins + 2048)
+        found, which = np.unique(code, return_inverse=True)
+        cells = [np.ones(len(x)), *x.T, *[x[:, i] * x[:, j] for i, j in _PAIRS]]
+        sums = np.stack([np.bincount(which, c, len(found)) for c in cells], axis=1)
+        names = groups.dictionary.to_pylist()
+        for k, row in zip(found.tolist(), sums, strict=True):
+            key = names[k // 8192], k // 4096 % 2, k % 4096 - 2048
+            self.held[key] = self.held[key] + row if key in self.held else row
 
+    def batch(self) -> pa.RecordBatch:
+        keys, rows = list(self.held), list(self.held.values())
+        self.held = {}
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([float(r[0]) for r in rows], pa.float64()), pa.array([r[1:] for r in rows], pa.list_(pa.float64()))], names=["_group", "_start", "_bin", "_n", "_sums"])
 
-def estimates(measured: DataFrame, lang: str, source: str, name: str = "quality") -> DataFrame:
-    """_key, _mean, _inverse of every pair of language and source.
 
-    Pairs of fewer than LEAST_GROUP documents share one estimate a language,
-    and languages whose small pairs still have too few share one estimate.
+_TOTALS = "_group string, _start int, _bin int, _n double, _sums array<double>"
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _summed(place):
+    """Totals of a task's rows; place(batch, vectors) gives each row's start and bin, and the vector to sum."""
+
+    def run(batches):
+        totals = _Totals()
+        for batch in batches:
+            if batch.num_rows:
+                totals.add(batch.column("_group"), *place(batch, _matrix(batch.column("_x"))))
+            if len(totals.held) > _Totals.ROWS:
+                yield totals.batch()
+        if totals.held:
+            yield totals.batch()
+
+    return run
+
+
+def _spread(quartiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Medians, and standard deviations by quartile ranges."""
+    q = quartiles.reshape(-1, P, 3)
+    return q[:, :, 1], np.maximum((q[:, :, 2] - q[:, :, 0]) / 1.349, _FLOOR)
+
+
+def _squeezed(batch: pa.RecordBatch, x: np.ndarray):
+    middle, spread = _spread(_matrix(batch.column("_q")))
+    none = np.zeros(len(x), np.int64)
+    return none, none, np.tanh((x - middle) / spread)
+
+
+def _by_distance(batch: pa.RecordBatch, x: np.ndarray):
+    diff = x - _matrix(batch.column("_mean"))
+    squared = np.einsum("ni,nij,nj->n", diff, _matrix(batch.column("_inverse")).reshape(-1, P, P), diff)
+    return batch.column("_start").to_numpy(), np.floor(np.log2(np.maximum(squared, 0) + 1e-9) * BINS).astype(np.int64), x
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """vectors: _key, _x of the documents that pass the base rules.  _key, _mean, _inverse of every key.
+
+    Pairs of language and source of fewer than LEAST_GROUP documents share one
+    estimate a language, and languages whose small pairs still have too few
+    share one estimate.
     """
-    vectors = C.checkpointed(measured.where(~F.col(f"{name}.base_failed")).select(_key(lang, source).alias("_key"), F.col(f"{name}.x").alias("_x")))
-    of_lang = F.substring_index("_key", "\x01", 1)
+    of_lang = F.substring_index("_key", "/", 1)
     own = F.col("_n") >= LEAST_GROUP
     pooled = F.sum(F.when(~own, F.col("_n"))).over(Window.partitionBy(of_lang))
     groups = vectors.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).select("_key", F.when(own, F.col("_key")).when(pooled >= LEAST_GROUP, of_lang).otherwise(F.lit("*")).alias("_group"))
     groups = C.checkpointed(groups)
-    grouped = C.checkpointed(vectors.join(_small(groups), "_key").select("_group", "_x"))
-    quartiles = F.array(*[F.percentile_approx(F.col("_x")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)) for i in range(P)])
-    found = C.checkpointed(grouped.groupBy("_group").agg(quartiles.alias("_q")).mapInArrow(lambda batches: (x for b in batches for x in _start(pa.Table.from_batches([b])).to_batches()), ESTIMATE))
-    sums = F.array(*[F.sum(F.col("_x")[i]) for i in range(P)], *[F.sum(F.col("_x")[i] * F.col("_x")[j]) for i, j in _PAIRS])
-    bin_of = F.floor(F.log2(_distance("_x", "_mean", "_inverse") + F.lit(1e-9)) * BINS).cast("int")
+    grouped = vectors.join(_small(groups), "_key").select("_group", "_x")
+    x = F.col("_x")
+    quartiles = F.flatten(F.array(*[F.percentile_approx(x[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)) for i in range(P)]))
+    middles = C.checkpointed(grouped.groupBy("_group").agg(quartiles.alias("_q")))
+    squeezed = grouped.join(_small(middles), "_group").mapInArrow(_summed(_squeezed), _TOTALS)
+    found = C.checkpointed(squeezed.join(_small(middles), "_group").groupBy("_group").applyInArrow(_first, ESTIMATE))
     for _ in range(STEPS):
-        near = grouped.join(_small(found), "_group").withColumn("_bin", bin_of)
-        by_bin = near.groupBy("_group", "_bin").agg(F.count(F.lit(1)).alias("_n"), sums.alias("_sums"))
-        found = C.checkpointed(by_bin.groupBy("_group").applyInArrow(_concentrate, ESTIMATE))
-    return C.checkpointed(groups.join(found, "_group").drop("_group"))
-
-
-def _judged(docs: DataFrame, want: Sequence[str], text: str, lang: str, source: str, cutoff: float) -> DataFrame:
-    """_doc, the wanted columns, and _verdict of every row; inside, columns go by numbers, so that no name of docs can clash."""
+        near = vectors.join(_small(groups.join(found, "_group")), "_key").select("_group", "_start", "_x", "_mean", "_inverse")
+        sums = near.mapInArrow(_summed(_by_distance), _TOTALS).join(_small(found.select("_group", "_start", "_logdet")), ["_group", "_start"])
+        found = C.checkpointed(sums.groupBy("_group", "_start").applyInArrow(_concentrate, ESTIMATE))
+        moved = found.agg(F.max("_moved")).first()[0]
+        if moved is None or moved < SETTLED:
+            break
+    best = found.groupBy("_group").agg(F.min_by(F.struct("_mean", "_inverse"), F.struct("_logdet", "_start")).alias("_best"))
+    return C.checkpointed(groups.join(best, "_group").select("_key", "_best.*"))
+
+
+def _judged(docs: DataFrame, want: Sequence[str], text: str, lang: str, source: str, level: float) -> tuple[DataFrame, list[Column]]:
+    """_0, _1, ... (the wanted columns) and _verdict of every row, and the wanted columns by their names;
+    inside, columns go by numbers, so that no name of docs can clash."""
     columns = list(dict.fromkeys([*want, text, lang, source]))
     number = {c: f"_{k}" for k, c in enumerate(columns)}
-    named = lambda cs: docs.select(*[F.col(f"`{c}`").alias(number[c]) for c in cs])
-    found = estimates(measure(named(dict.fromkeys([text, lang, source])), number[text], "_m"), number[lang], number[source], "_m")
-    packed = measure(named(columns), number[text], "_m").select(F.struct(*[F.col(number[c]).alias(c) for c in want]).alias("_doc"), F.col("_m").alias("_q"), _key(number[lang], number[source]).alias("_key"))
+    rows = docs.select(*[C.col(c).alias(n) for c, n in number.items()])
+    measured = measure(rows, number[text], "_m").select(*[number[c] for c in want], F.col("_m").alias("_q"), _key(number[lang], number[source]).alias("_key"))
+    measured = C.stored(measured, "measures")
+    found = estimates(measured.where(~F.col("_q.base_failed")).select("_key", F.col("_q.x").alias("_x")))
     q = F.col("_q")
     distance = F.when(F.col("_mean").isNotNull(), _distance("_q.x", "_mean", "_inverse"))
-    verdict = ~q.base_failed & F.coalesce(distance <= cutoff, F.lit(True))
-    return packed.join(_small(found), "_key", "left").select("_doc", F.struct(*[q[b].alias(b) for b in BASE], q.base_failed.alias("base_failed"), distance.alias("distance"), verdict.alias("kept")).alias("_verdict"))
+    verdict = ~q.base_failed & F.coalesce(distance <= chi_square(level), F.lit(True))
+    told = F.struct(*[q[b].alias(b) for b in BASE], q.base_failed.alias("base_failed"), distance.alias("distance"), verdict.alias("kept"))
+    judged = measured.join(_small(found), "_key", "left").select(*[number[c] for c in want], told.alias("_verdict"))
+    return judged, [F.col(number[c]).alias(c) for c in want]
 
 
-def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", name: str = "quality", cutoff: float = CUTOFF, columns: Sequence[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", name: str = "quality", level: float = LEVEL, columns: Sequence[str] | None = None) -> DataFrame:
     """The asked columns of docs (all by default) with a struct column: the base statistics, base_failed,
     distance (squared; null if there is no estimate) and kept.
 
     Documents that fail a base rule take no part in the estimates.  Null
-    languages and sources are values of their own.  Equal rows are judged
-    alike.  A column of that name is replaced.  An empty table gives an empty
-    result.
+    languages and sources are values of their own; a null or empty text has no
+    words and fails.  Equal rows are judged alike.  A column of that name is
+    replaced; others may have any names.  An empty table gives an empty
+    result.  A text is measured in one task, at about forty times its size.
     """
     want = list(columns) if columns is not None else [c for c in docs.columns if c.lower() != name]
-    return _judged(docs, want, text, lang, source, cutoff).select("_doc.*", F.col("_verdict").alias(name))
+    judged, back = _judged(docs, want, text, lang, source, level)
+    return judged.select(*back, F.col("_verdict").alias(name))
 
 
-def keep(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", name: str = "quality", cutoff: float = CUTOFF, columns: Sequence[str] | None = None) -> DataFrame:
-    """The rows of docs (or the asked columns of them) that every rule keeps, unchanged; name is not in
-    use, and columns may have any names."""
-    want = list(columns) if columns is not None else docs.columns
-    return _judged(docs, want, text, lang, source, cutoff).where("_verdict.kept").select("_doc.*")
+def keep(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", level: float = LEVEL, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of docs (or the asked columns of them) that every rule keeps, unchanged, as judge() finds
+    them; columns may have any names."""
+    judged, back = _judged(docs, list(columns) if columns is not None else docs.columns, text, lang, source, level)
+    return judged.where("_verdict.kept").select(*back)
