@@ -7,7 +7,7 @@ documents that can be dropped.
 
 What is broadcast grows with the benchmark, never with the corpus, and is flat
 arrays: the benchmark's words as one run of bytes, and for each window a hash,
-a place and its items, about 30 bytes a word.  Its size is checked: a
+a place and its items, about 30 bytes a word (building it takes some sixty times the text).  Its size is checked: a
 benchmark of more than max_block_bytes of text is dealt into blocks of at most
 that size, and the documents pass the blocks one after another, so that the
 result is the same.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 NGRAM = 10
-MAX_BLOCK_BYTES = 16 << 20
+MAX_BLOCK_BYTES = 8 << 20
 MARKS = "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items:array<string>,spans:array<struct<start:int,end:int>>>"
 
 
@@ -52,10 +52,11 @@ class Windows:
             order = np.lexsort((words, hashes))
             hashes, starts, ends, items, words = hashes[order], starts[order], ends[order], items[order], words[order]
             group = np.cumsum(np.append(True, (hashes[1:] != hashes[:-1]) | (words[1:] != words[:-1]))) - 1
-        pairs = np.unique(np.stack([group, items], axis=1), axis=0)
+        n_items = int(items.max()) + 1
+        pairs = np.unique(group * n_items + items)
         first = C.runs(group)
         self.hashes, self.starts, self.ends = hashes[first], starts[first].astype(np.int32), ends[first].astype(np.int32)
-        self.items, self.begin = pairs[:, 1].astype(np.int32), np.append(C.runs(pairs[:, 0]), len(pairs)).astype(np.int32)
+        self.items, self.begin = (pairs % n_items).astype(np.int32), np.append(C.runs(pairs // n_items), len(pairs)).astype(np.int32)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 

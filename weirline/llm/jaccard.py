@@ -19,13 +19,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 NGRAM, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 6
 TILE = 512  # classes in a block of a component
+SALTS = 16
 _WORD = ~C.SPACE
 NO_ID = int(np.iinfo(np.int64).min)
 
@@ -213,9 +214,14 @@ def _with_grams(ngram: int):
     return run
 
 
+def _row_key(doc_id: str, text: str) -> list[Column]:
+    return [F.coalesce(C.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(C.col(text)).alias("_h1"), F.xxhash64(F.lit("second"), C.col(text)).alias("_h2")]
+
+
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """_text, _id, _h1, _h2 (a 128-bit hash of the text)."""
-    return docs.select(F.col(text).alias("_text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_h1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_h2"))
+    C.integer_id(docs, doc_id)
+    return docs.select(C.col(text).alias("_text"), *_row_key(doc_id, text))
 
 
 SIGNED = "_id long, _h1 long, _h2 long, _n long, _codes array<long>"
@@ -253,9 +259,11 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, ngram: int, threshold: flo
     found = C.checkpointed(tiled.groupBy("_pack", "_tile").applyInArrow(_verify(threshold), LINKS))
     links = found.groupBy("_node").agg(F.sum("_links").alias("_links"))
     groups = components(C.checkpointed(found.where(F.col("_node") != F.col("_to")).select(F.col("_node").alias("_a"), F.col("_to").alias("_b")).distinct()))
-    whole = kinds.select("_node", "_h1", "_h2", "_first", "_copies").join(links, "_node", "left").join(groups, "_node", "left").withColumn("_group", F.coalesce("_group", "_node"))
-    firsts = whole.groupBy("_group").agg(F.min("_first").alias("_smallest"))
-    named = whole.join(firsts, "_group").select("_group", "_h1", "_h2", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"), "_smallest")
+    whole = C.checkpointed(kinds.select("_node", "_h1", "_h2", "_first", "_copies").join(links, "_node", "left").join(groups, "_node", "left").withColumn("_alone", F.col("_group").isNull()).withColumn("_group", F.coalesce("_group", "_node")))
+    # A group may hold any share of the classes: its rows are salted, and its smallest document repeated for each salt.
+    firsts = whole.where("NOT _alone").groupBy("_group").agg(F.min("_first").alias("_smallest")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    grouped = whole.where("NOT _alone").withColumn("_salt", F.pmod(F.xxhash64("_node"), F.lit(SALTS)).cast("int")).join(firsts, ["_group", "_salt"]).drop("_salt")
+    named = grouped.unionByName(whole.where("_alone").withColumn("_smallest", F.col("_first"))).select("_group", "_h1", "_h2", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"), "_smallest")
     return signed.select("_id", "_h1", "_h2"), named
 
 
@@ -267,9 +275,11 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram:
     number of other documents with a Jaccard similarity of the threshold or
     more on sets of ngram words, copies included.  Words are unchanged.  A text
     of fewer words has one set member, all its words.  Texts without words,
-    null among them, are linked only to equal ones.  Rows of one doc_id count
-    as documents of their own; a null doc_id is the smallest.  Other columns
-    are not read.
+    null among them, are linked only to equal ones.  Ids are integers
+    (TypeError if not); rows of one doc_id count as documents of their own; a
+    null doc_id is the smallest.  An empty table gives an empty result.  Other
+    columns, whatever their names, are not read.  A text's grams are made in
+    one task, at about sixty times its size.
     """
     all_rows, named = _grouped(docs, doc_id, text, ngram, threshold, recall, rows, tile)
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
@@ -277,11 +287,12 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram:
 
 
 def keep(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, tile: int = TILE) -> DataFrame:
-    """One row of docs, unchanged, of each near-duplicate group: the smallest document's."""
+    """One row of docs, unchanged, of each near-duplicate group as join() finds them: the smallest document's.
+    Of rows equal in id and text any one stays.  Columns may have any names; an empty table gives an empty result."""
     all_rows, named = _grouped(docs, doc_id, text, ngram, threshold, recall, rows, tile)
     of_group = all_rows.join(named, ["_h1", "_h2"]).groupBy("_group").agg(F.min(F.struct("_id", "_h1", "_h2")).alias("_k")).select("_k._id", "_k._h1", "_k._h2")
     same = all_rows.join(of_group, ["_id", "_h1", "_h2"]).groupBy("_id", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_same"))
-    hashed = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_h1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_h2"))
+    hashed = docs.select(F.struct("*").alias("_doc"), *_row_key(doc_id, text))
     kept = hashed.join(same, ["_id", "_h1", "_h2"])
     once = kept.where("_same = 1").select("_doc.*")
     return once.unionByName(kept.where("_same > 1").dropDuplicates(["_id", "_h1", "_h2"]).select("_doc.*"))

@@ -329,12 +329,17 @@ def score(docs: DataFrame, vocabulary_path: str, *, doc_id: str = "doc_id", text
     learned from; a null id counts as ''.  Tokens are words, A-Z lower-cased,
     and one end; a null or empty text is one end.  base_score is the word
     unigram's with half a count added, score the lattice's.  With no training
-    documents all counts are 0.  Other columns are not read.
+    documents all counts are 0.  Ids are integers (TypeError if not); rows of
+    one id are rows of their own.  An empty table gives an empty result.  Other
+    columns, whatever their names, are not read.  A task holds one block, of
+    about 6 MB or one text, at about forty times its size; a word of any length
+    is scored and learned from.
     """
+    C.integer_id(docs, doc_id)
     spark = docs.sparkSession
     total = C.text_bytes(docs, text)
     n_buckets = C.buckets_for(total // 60, 200_000)
-    in_training = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != held_out
+    in_training = F.pmod(F.crc32(F.coalesce(C.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != held_out
     blocks = lambda rows: C.in_blocks(rows, doc_id, text, total)
     sent = lambda rows: rows.groupBy("_block").applyInArrow(_send(n_buckets, folds, held_out), SENT).groupBy("_bucket")
 

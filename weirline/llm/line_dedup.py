@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
+#: Sums up to which they are broadcast: 32 bytes each.
+BROADCAST_SUMS = 500_000
 LINES = "_h1 long, _h2 long, _id long, _row long, _pos int"
 NO_ID = int(np.iinfo(np.int64).min)
 
@@ -80,26 +82,30 @@ STREAMED = f"{LINES}, _waits boolean, _new boolean"
 
 def _streamed(least_docs: int):
     """One pass over a sorted partition: the rows to drop, and those of the first and the last
-    hash, which wait.  A run that reaches a batch's end is carried into the next batch."""
+    hash, which wait.  A run that reaches a batch's end is held until the next batch."""
 
     def marked(table: pa.Table, places: np.ndarray, waits: bool, new_doc: np.ndarray):
         taken = table.take(pa.array(places))
         return taken.append_column("_waits", pa.array(np.full(len(taken), waits))).append_column("_new", pa.array(new_doc[places])).combine_chunks().to_batches()
 
     def run(batches):
-        carried, at_start = None, True
+        held, at_start = [], True  # the rows of the last hash so far, as they came
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
-            table = (pa.concat_tables([carried, table]) if carried is not None else table).combine_chunks()
-            if not len(table):
+            h1, h2 = (table.column(c).to_numpy() for c in ("_h1", "_h2"))
+            if held and h1[0] == h1[-1] and h2[0] == h2[-1] and same_hash(held[-1], h1[0], h2[0]):
+                held.append(table)  # a hash may fill many batches
                 continue
+            table = pa.concat_tables([*held, table]).combine_chunks()
             h1, h2, ids = (table.column(c).to_numpy() for c in ("_h1", "_h2", "_id"))
             new_hash = np.ones(len(h1), bool)
             new_hash[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             new_doc = new_hash.copy()
             new_doc[1:] |= ids[1:] != ids[:-1]
             starts = np.flatnonzero(new_hash)
-            carried = table.slice(starts[-1])
+            held = [table.slice(starts[-1])]
             whole, ends = starts[:-1], starts[1:]
             if at_start and len(whole):
                 yield from marked(table, np.arange(ends[0]), True, new_doc)
@@ -113,22 +119,31 @@ def _streamed(least_docs: int):
             places = places[ids[places] < np.repeat(ids[ends[many] - 1], lengths)]
             if len(places):
                 yield from marked(table, places, False, new_doc)
-        if carried is not None:
-            yield from marked(carried, np.arange(len(carried)), True, new_doc[starts[-1] :])
+        if held:
+            last = pa.concat_tables(held).combine_chunks()
+            ids = last.column("_id").to_numpy()
+            yield from marked(last, np.arange(len(last)), True, np.append(True, ids[1:] != ids[:-1]))
+
+    def same_hash(table: pa.Table, h1: int, h2: int) -> bool:
+        return table.column("_h1")[-1].as_py() == h1 and table.column("_h2")[-1].as_py() == h2
 
     return run
 
 
 def dropped(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """_id, _row, _pos of every line to drop; _row is xxhash64(doc_id, text)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_row"), F.col(text).alias("_text"))
-    lines = rows.mapInArrow(_hashed(least_chars), LINES)
+    C.integer_id(docs, doc_id)
+    rows = docs.select(C.col(doc_id).cast("long").alias("_id"), F.xxhash64(C.col(doc_id), C.col(text)).alias("_row"), C.col(text).alias("_text"))
+    lines = C.stored(rows.mapInArrow(_hashed(least_chars), LINES), "hashes")  # range partitioning reads its input twice
     dealt = lines.repartitionByRange("_h1", "_h2", "_id").sortWithinPartitions("_h1", "_h2", "_id", "_pos")
     streamed = C.stored(dealt.mapInArrow(_streamed(least_docs), STREAMED), "lines")
     waiting = streamed.where("_waits")
-    # A document's rows of one hash share a partition, so new documents can be counted there; the sums are at most two a partition.
+    # A document's rows of one hash share a partition, so new documents can be counted there.  A partition has two hashes
+    # that wait at most, so the sums are broadcast if their count says so, and joined by shuffle beyond.
     sums = waiting.groupBy("_h1", "_h2").agg(F.count_if("_new").alias("_n"), F.max("_id").alias("_last")).where(F.col("_n") >= least_docs)
-    late = waiting.join(F.broadcast(sums), ["_h1", "_h2"]).where(F.col("_id") < F.col("_last"))
+    sums = C.checkpointed(sums)
+    small = sums.limit(BROADCAST_SUMS + 1).count() <= BROADCAST_SUMS
+    late = waiting.join(F.broadcast(sums) if small else sums, ["_h1", "_h2"]).where(F.col("_id") < F.col("_last"))
     return streamed.where(~F.col("_waits")).select("_id", "_row", "_pos").union(late.select("_id", "_row", "_pos"))
 
 
@@ -170,7 +185,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     text is one empty line.  Other columns are not read.
     """
     bits = bitmaps(dropped(docs, doc_id=doc_id, text=text, **limits))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_row"), F.col(text).alias("text"))
+    rows = docs.select(C.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(C.col(doc_id), C.col(text)).alias("_row"), C.col(text).alias("text"))
     joined = rows.join(bits.withColumnRenamed("_id", "_of"), (F.coalesce(rows.doc_id, F.lit(NO_ID)) == F.col("_of")) & (rows["_row"] == bits["_row"]), "left").select("doc_id", "text", "_bits")
 
     def build(batches):

@@ -98,7 +98,7 @@ def _small(by_source: DataFrame) -> DataFrame:
 
 
 def _source_key(source: str) -> Column:
-    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
+    return F.coalesce(F.concat(F.lit("s"), C.col(source)), F.lit("n"))
 
 
 def _cuts(sized: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _copies(most: int) -> Column:
 
 
 def _sized(docs: DataFrame, key: str, source: str, text: str, salt: str) -> DataFrame:
-    columns = [_source_key(source).alias("_src"), F.col(source).alias("_source"), F.col(key).alias("doc_id"), words_in(F.col(text)).alias("_size"), hash_of(F.col(key), salt).alias("_hash")]
+    columns = [_source_key(source).alias("_src"), C.col(source).alias("_source"), C.col(key).alias("doc_id"), words_in(C.col(text)).alias("_size"), hash_of(C.col(key), salt).alias("_hash")]
     return C.checkpointed(docs.select(*columns))
 
 
@@ -142,6 +142,6 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text:
     filtered by their hash where they lie.
     """
     cuts = _cuts(_sized(docs, key, source, text, salt), weights, share, most)
-    hashed = docs.select(F.struct("*").alias("_doc"), _source_key(source).alias("_src"), hash_of(F.col(key), salt).alias("_hash"))  # no name of docs can clash
+    hashed = docs.select(F.struct("*").alias("_doc"), _source_key(source).alias("_src"), hash_of(C.col(key), salt).alias("_hash"))  # no name of docs can clash
     taken = hashed.join(cuts, "_src").withColumn("_copies", _copies(most).cast("int")).where("_copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

@@ -62,13 +62,13 @@ def shard(docs: DataFrame, weights: Sequence[float], *, key: str = "doc_id", tex
     interchangeable.  An empty table gives an empty result; other columns of
     docs, whatever their names, are not read.
     """
-    raw = F.coalesce(F.col(text), F.lit(""))
+    raw = F.coalesce(C.col(text), F.lit(""))
     more = [*weights, grown_weight if grown_weight is not None else weights[-1]]
     narrow = docs.select(
-        F.col(key).alias("doc_id"),
+        C.col(key).alias("doc_id"),
         (F.octet_length(raw).cast("long") + 1).alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
-        shard_of(F.col(key), weights, salt).alias("shard"),
-        shard_of(F.col(key), more, salt).alias("grown_shard"),
+        shard_of(C.col(key), weights, salt).alias("shard"),
+        shard_of(C.col(key), more, salt).alias("grown_shard"),
     )
     return numbered(narrow, "shard", ["doc_id", "size", "text_crc32"])

@@ -18,6 +18,7 @@ few bytes.  Chunks hold whole documents, so each is decoded by itself.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import cache
@@ -56,8 +57,18 @@ _WHITE = C.SPACE | _is(*range(0x1C, 0x20))
 _MARK = _is(*range(0x21, 0x7F)) & ~_LETTER & ~_DIGIT
 
 
+def _splits_like_bytes(tokenizer) -> bool:
+    """Whether the file is of the one kind that Encoder may cut into units: a BPE over bytes whose own pattern
+    splits the text, with nothing changed before and no added token that takes white space with it."""
+    made = json.loads(tokenizer.to_str())
+    pre = made.get("pre_tokenizer") or {}
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] and made.get("normalizer")) for t in made.get("added_tokens", []))
+    kind = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return bool(kind and plain and not made.get("normalizer") and made["model"].get("type") == "BPE" and len(tokenizer.encode("\n", add_special_tokens=False).ids) == 1)
+
+
 class Encoder:
-    """Encodes texts, each different unit of them once.
+    """Encodes texts, each different unit of them once; texts are whole units if the tokenizer is not a BPE over bytes.
 
     A unit begins at a space after a byte that is not white space, after a
     line break between two ASCII bytes that are not, and where ASCII letters,
@@ -75,11 +86,13 @@ class Encoder:
         self.tokenizer = _tokenizer(path)
         #: Strings that are one token wherever they stand, such as the end of a text: no unit ends inside.
         self.fixed = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_units = _splits_like_bytes(self.tokenizer)
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if self.by_units else None
         self.reset()
 
     def reset(self) -> None:
-        self.known, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order: a dict would take ten times the memory
+        #: 128-bit hashes, in order of the first half, and places in `ends`: a dict would take ten times the memory.
+        self.known, self.second, self.places = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _cuts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -137,23 +150,43 @@ class Encoder:
         out[np.concatenate([p for p, _, _ in parts])] = np.arange(place, place + len(starts))
         return out
 
+    def _encode_each(self, data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every unit by itself, none from what is known."""
+        self.reset()
+        unit = self._learn(data, starts, ends)
+        lengths = (self.ends[1:] - self.ends[:-1])[unit]
+        ids = self.ids[C.ranges(self.ends[unit], lengths)]
+        self.reset()
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offs)]
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        if not self.by_units:
+            raw = data.tobytes()
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], add_special_tokens=False)]
+            return np.array([i for ids in got for i in ids], np.uint32), np.cumsum([0, *map(len, got)])
         starts = self._cuts(data, offs)
         ends = np.append(starts[1:], len(data))
         hashes, first, which = np.unique(C.byte_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        second = C.byte_hashes(data, starts, ends, C.byte_sums(data, 1))
+        if (second[first][which] != second).any():  # two units of this chunk have one hash: no unit is remembered or used
+            return self._encode_each(data, offs, starts, ends)
+        second = second[first]
         if len(self.known) > CACHED_UNITS:
             self.reset()
         at = np.searchsorted(self.known, hashes)
         inside = np.minimum(at, max(len(self.known) - 1, 0))
         seen = self.known[inside] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+        if (self.second[inside[seen]] != second[seen]).any():
+            return self._encode_each(data, offs, starts, ends)
         unit = np.where(seen, self.places[inside], -1) if len(self.known) else np.full(len(hashes), -1)
         missing = np.flatnonzero(~seen)
         if len(missing):
             unit[missing] = self._learn(data, starts[first[missing]], ends[first[missing]])
-            self.known, self.places = np.insert(self.known, at[missing], hashes[missing]), np.insert(self.places, at[missing], unit[missing])
+            put = lambda old, new: np.insert(old, at[missing], new[missing])
+            self.known, self.second, self.places = put(self.known, hashes), put(self.second, second), put(self.places, unit)
         unit = unit[which]
         lengths = (self.ends[1:] - self.ends[:-1])[unit]
         ids = self.ids[C.ranges(self.ends[unit], lengths)]
@@ -222,11 +255,16 @@ _FILE_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", p
 def write(docs: DataFrame, to: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS, chunk_ids: int = CHUNK_IDS, bit_planes: bool = False) -> None:
     """Writes the ids of all texts to the folder `to`, in ascending order of doc_id, null first.
 
-    Rows of one id stand in an order that their texts decide.  A null or empty
-    text is the end id alone.  tokenizer is the path of a `tokenizers` file
-    that is on every machine.
+    Ids are integers (TypeError if not); rows of one id stand in an order that
+    their texts decide.  A null or empty text is the end id alone.  An empty
+    table makes files without rows.  Other columns, whatever their names, are
+    not read.  tokenizer is the path of a `tokenizers` file that is on every
+    machine: texts are cut into units only if it splits bytes as Encoder
+    expects, and are encoded whole by any other.  A text is encoded in one
+    task, at about forty times its size, and a chunk holds whole documents.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_row"))
+    C.integer_id(docs, doc_id)
+    rows = docs.select(C.col(doc_id).cast("long").alias("_id"), C.col(text).alias("_text"), F.xxhash64(C.col(text)).alias("_row"))
     keys = ["_id", "_row", "_place"]
     dealt = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
     dealt.select("_id", "_text").mapInArrow(_write(tokenizer, end_id, block_ids, chunk_ids, bit_planes), FILES).write.option("compression", "none").parquet(to)
