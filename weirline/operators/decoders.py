@@ -467,7 +467,7 @@ def net_devices(df: DataFrame, keep: Sequence[str] = (), text: str = PAYLOAD) ->
     words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
     named = lambda prefix, k: F.transform(words(F.get(heads, F.lit(k))), lambda w: F.concat(F.lit(prefix), w))
     row = r"^\s*([a-z0-9]+):\s*([0-9 ]+)$"
-    rows = df.where(F.col(text).rlike(r"^Inter-\|")).withColumn("_names", F.concat(named("receive_", 1), named("transmit_", 2))).withColumn("_line", F.explode(F.slice(lines, 3, 100_000))).where(F.col("_line").rlike(row))
+    rows = df.where(F.col(text).rlike(r"^Inter-\|")).withColumn("_names", F.concat(named("receive_", 1), named("transmit_", 2))).withColumn("_line", F.explode(F.slice(lines, F.lit(3), F.size(lines)))).where(F.col("_line").rlike(row))
     numbers = words(F.regexp_extract("_line", row, 2))
     made = F.transform(F.arrays_zip(F.col("_names").alias("n"), numbers.alias("v")), lambda z: M.field(z["n"], z["v"].try_cast("bigint"), "integer"))
     bag = F.concat(_copied(["FilePath"]), made, F.array(M.field("netdevice", F.regexp_extract("_line", row, 1), "string")))

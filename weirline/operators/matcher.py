@@ -9,13 +9,15 @@ Spark parses the whole, and Catalyst folds, prunes and pushes it down.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import message as M
 from ..functions.regex import plain_affix, to_java
 
 TEXT = {"Uuid": "", "Type": "type", "Logger": "logger", "Payload": "payload", "EnvVersion": "env_version", "Hostname": "hostname"}
@@ -40,11 +42,13 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _number(text: str) -> str:
+def _number(text: str) -> float:
+    """A number's value; one that is unreadable or out of range counts as 0."""
     try:
-        return f"{float(text)!r}D"
+        value = float(text)
     except ValueError:
-        return "0.0D"  # an unreadable number counts as 0
+        return 0.0
+    return value if math.isfinite(value) else 0.0
 
 
 def _text_test(sql: str, op: str, value: re.Match) -> str:
@@ -70,7 +74,7 @@ def _number_test(sql: str, op: str, value: re.Match, *, may_be_nan: bool = False
     """A condition on doubles; text never matches, and no comparison with NaN but != holds."""
     if value["num"] is None:
         return "false"
-    test = f"cast({sql} as double) {'=' if op == '==' else op} {_number(value['num'])}"
+    test = f"cast({sql} as double) {'=' if op == '==' else op} {_number(value['num'])!r}D"
     if may_be_nan:
         return f"({test} OR isnan({sql}))" if op == "!=" else f"({test} AND NOT isnan({sql}))"
     return test
@@ -89,8 +93,28 @@ def _field_test(name: str, fi: int, ai: int, op: str, value: re.Match) -> str:
     return f"coalesce(CASE {element}.value_type {branches} ELSE false END, false)"
 
 
-def to_sql(spec: str) -> str:
-    """The matcher as a Spark SQL condition; MatcherError if it is malformed."""
+def _column_test(column: str, kind: str, op: str, value: re.Match) -> str:
+    """The same for a field that is a column of one value: a plain comparison, which reaches the scan."""
+    if value["word"] == "NIL":
+        return f"{column} IS {'' if op == '==' else 'NOT '}NULL"
+    if kind in ("string", "bytes"):
+        test = _text_test(column if kind == "string" else f"cast({column} as string)", op, value)
+    elif kind == "double":
+        test = _number_test(column, op, value, may_be_nan=True)
+    elif kind == "integer":
+        number = _number(value["num"]) if value["num"] is not None else math.nan
+        whole = number.is_integer() and abs(number) < 1 << 53  # then both compare alike
+        test = f"{column} {'=' if op == '==' else op} {int(number)}L" if whole else _number_test(column, op, value)
+    else:
+        test = f"{column} = {'true' if value['word'] == 'TRUE' else 'false'}"
+    return "false" if test == "false" else f"{column} IS NOT NULL AND {test}"
+
+
+def to_sql(spec: str, columns: Mapping[str, tuple[str, str]] | None = None) -> str:
+    """The matcher as a Spark SQL condition; MatcherError if it is malformed.
+
+    columns: fields that are columns of one value each, as (column, type).
+    """
     spec = spec.split("\n", 1)[0].strip()
     if not spec:
         raise MatcherError("empty matcher")
@@ -116,7 +140,14 @@ def to_sql(spec: str) -> str:
         if value["word"] == "NIL" and (not m["field"] or op not in ("==", "!=")):
             raise MatcherError(f"NIL tests fields only, by == and !=: {spec}")
         if m["field"]:
-            out.append("(" + _field_test(m["name"], int(m["fi"] or 0), int(m["ai"] or 0), op, value) + ")")
+            first = not int(m["fi"] or 0) and not int(m["ai"] or 0)
+            if columns is None:
+                test = _field_test(m["name"], int(m["fi"] or 0), int(m["ai"] or 0), op, value)
+            elif m["name"] in columns and first:
+                test = _column_test(*columns[m["name"]], op, value)
+            else:  # there is no such value
+                test = "true" if value["word"] == "NIL" and op == "==" else "false"
+            out.append(f"({test})")
         elif m["var"] in TEXT:
             if value["num"] is not None or value["word"]:
                 raise MatcherError(f"{m['var']} is text: {spec}")
@@ -141,15 +172,30 @@ def to_sql(spec: str) -> str:
     return " ".join(out)
 
 
-def compile(spec: str) -> Column:  # noqa: A001
-    """The matcher as a boolean column over messages."""
-    sql = to_sql(spec)
+def compile(spec: str, columns: Mapping[str, tuple[str, str]] | None = None) -> Column:  # noqa: A001
+    """The matcher as a boolean column over messages; with columns (a field's name to its column and type),
+    over rows that have the envelope and each field as a column of its own."""
+    sql = to_sql(spec, columns)
     try:
         return F.expr(sql)
     except ParseException as e:
         raise MatcherError(f"{spec}: {e.getMessage() if hasattr(e, 'getMessage') else e}") from e
 
 
+def from_columns(df: DataFrame, spec: str, sources: Mapping[str, tuple[Column, str]], *, extra: Sequence[str] = (), **envelope) -> DataFrame:
+    """The messages that the matcher chooses of a table whose columns become fields: {name: (column, type)}.
+
+    The choice is made over the columns, so that its comparisons reach the
+    scan, and fields are built of what is left.  Further options are those of
+    message.messages.
+    """
+    held = {name: f"_field_{k}" for k, name in enumerate(sources)}
+    flat = M.messages(df.withColumns({held[n]: c for n, (c, _) in sources.items()}), extra=[*extra, *held.values()], **envelope)
+    chosen = flat.where(compile(spec, {n: (held[n], kind) for n, (_, kind) in sources.items()}))
+    bag = M.fields(*[M.field(n, F.col(held[n]), kind) for n, (_, kind) in sources.items()])
+    return chosen.select(*M.ENVELOPE, bag.alias("fields"), *extra)
+
+
 def match(df: DataFrame, spec: str, *, signer: str | None = None) -> DataFrame:
     """The messages that the matcher and, if named, the verified signer choose."""
     found = df.where(compile(spec))
@@ -168,6 +214,20 @@ def reinjected(made: DataFrame, spec: str, *, max_loops: int = 4) -> DataFrame:
     return again.withColumn("loop_count", F.col("loop_count") + 1).where(F.col("loop_count") <= max_loops) if "loop_count" in made.columns else again
 
 
+def injected(made: DataFrame, name: str, *, hostname: str = "", prefix: str = "sandbox.") -> DataFrame:
+    """What a user's filter of that name emits, as it may enter the flow: its type has the prefix, and
+    logger and hostname are the flow's own, whatever the filter set."""
+    return made.withColumns({"type": F.concat(F.lit(prefix), F.col("type")), "logger": F.lit(name), "hostname": F.lit(hostname)})
+
+
+def limited(made: DataFrame, occasion: Sequence[str], *, most: int) -> DataFrame:
+    """made, or an error when it is evaluated if one occasion (a message or a tick) has more than `most`
+    rows: a filter that floods the flow is ended, and nothing of it is dropped quietly."""
+    counts = made.groupBy(*occasion).agg(F.count(F.lit(1)).alias("_n"))
+    fine = F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} messages were injected at once")).cast("boolean"))
+    return made.join(counts.where(fine).select(*occasion), list(occasion), "left_semi")
+
+
 def in_set(df: DataFrame, hosts: list[str], output: str) -> DataFrame:
     """Messages of the given hosts, with the name of the output that takes them."""
     return df.where(F.col("hostname").isin(hosts)).withColumn("output", F.lit(output))

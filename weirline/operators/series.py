@@ -106,9 +106,28 @@ def merge(series: DataFrame, methods: Mapping[str, str], *, keys: Sequence[str]
     return out if out is not None else real.select(*keys, "col", "value").limit(0)
 
 
-def by_host(series: DataFrame, hosts: Sequence[str], *, host: str = "hostname", how: str = "sum") -> DataFrame:
-    """bucket_start and a column a host."""
-    return series.where(~F.isnan("value")).groupBy("bucket_start").pivot(host, list(hosts)).agg(MERGE[how]("value"))
+def host_columns(series: DataFrame, *, host: str = "hostname", how: str = "sum", expiration: int | None = None) -> DataFrame:
+    """bucket_start, host and value: the cells of a table with a column a host, in long form for any number of them.
+
+    With an expiration (s), hosts that fell silent that long before the newest
+    bucket of all have no column any more.
+    """
+    cells = series.where(~F.isnan("value")).groupBy("bucket_start", host).agg(MERGE[how]("value").alias("value"))
+    if expiration is None:
+        return cells
+    newest = F.broadcast(cells.agg(F.max("bucket_start").alias("_newest")))  # one row
+    seen = cells.groupBy(host).agg(F.max("bucket_start").alias("_seen")).crossJoin(newest)
+    return cells.join(seen.where(F.col("_seen") >= F.col("_newest") - expiration).select(host), host).select("bucket_start", host, "value")
+
+
+def by_host(series: DataFrame, hosts: Sequence[str] | None = None, *, host: str = "hostname", how: str = "sum", max_hosts: int = 100, expiration: int | None = None) -> DataFrame:
+    """bucket_start and a column a host; without a list, of the hosts found, at most max_hosts (ValueError if more)."""
+    cells = host_columns(series, host=host, how=how, expiration=expiration)
+    if hosts is None:
+        hosts = sorted(r[0] for r in cells.select(host).distinct().limit(max_hosts + 1).collect())
+        if len(hosts) > max_hosts:
+            raise ValueError(f"more than {max_hosts} hosts")
+    return cells.groupBy("bucket_start").pivot(host, list(hosts)).agg(F.max("value"))
 
 
 def render(series: DataFrame, columns: Mapping[str, tuple[str, str]], *, rows: int, seconds: int, keys: Sequence[str] = ()) -> DataFrame:

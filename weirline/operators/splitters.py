@@ -52,10 +52,13 @@ def regex(df: DataFrame, text: str, delimiter: str, *, delimiter_eol: bool = Tru
     if not groups:
         parts = F.split(F.col(text), java)
         marked = F.transform(parts, lambda p: p)
-    else:  # a mark that no text holds stands where the cut is
-        mark = ""
-        put = F.regexp_replace(F.col(text), java, f"$1{mark}" if delimiter_eol else f"{mark}$1")
-        marked = F.split(put, mark)
+    else:  # each match holds a record and the delimiter after it, and the next begins where it ends
+        each = rf"([\s\S]*?)(?:{java})"
+        found = lambda k: F.regexp_extract_all(F.col(text), F.lit(each), F.lit(k))
+        length = F.aggregate(found(0), F.lit(0), lambda n, x: n + F.length(x))
+        rest = F.array(F.substring(F.col(text), length + 1, F.length(text)))
+        before, captured, none = F.concat(found(1), rest), found(2), F.array(F.lit(""))
+        marked = F.zip_with(before, F.concat(captured, none) if delimiter_eol else F.concat(none, captured), (lambda r, c: F.concat(r, c)) if delimiter_eol else (lambda r, c: F.concat(c, r)))
     last = F.size(marked)
     records = marked if deliver_incomplete_final else F.slice(marked, 1, F.greatest(last - 1, F.lit(0)))
     return _exploded(df, F.filter(records, lambda r: r != "") if groups else records, keep_truncated, max_record)

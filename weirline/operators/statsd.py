@@ -65,6 +65,16 @@ def carried(gauged: DataFrame, *, seconds: int = 10) -> DataFrame:
     return spans.select(F.explode(F.sequence("tick", "_to", F.lit(seconds).cast("bigint"))).alias("tick"), "bucket", "value")
 
 
+def with_idle(made: DataFrame, *, seconds: int = 10) -> DataFrame:
+    """Counters or timers, and a row of zeros for each of a bucket's ticks without a sample, from its first one up to the last of all."""
+    nexts = Window.partitionBy("bucket").orderBy("tick")
+    end = F.broadcast(made.agg(F.max("tick").alias("_end")))  # one row
+    gaps = made.crossJoin(end).withColumn("_to", F.coalesce(F.lead("tick").over(nexts) - seconds, F.col("_end"))).where(F.col("_to") > F.col("tick"))
+    zeros = [F.lit(0).cast(f.dataType).alias(f.name) for f in made.schema if f.name not in ("tick", "bucket")]
+    ticks = gaps.select(F.explode(F.sequence(F.col("tick") + seconds, F.col("_to"), F.lit(seconds).cast("bigint"))).alias("tick"), "bucket", *zeros)
+    return made.unionByName(ticks)
+
+
 def timers(df: DataFrame, *, seconds: int = 10, thresholds: Sequence[int] = (90,)) -> DataFrame:
     """tick, bucket, count, count_ps, lower, upper, sum, mean, and mean_N and upper_N of each threshold.
 
@@ -95,25 +105,42 @@ def numbers_of_stats(df: DataFrame, *, seconds: int = 10) -> DataFrame:
     return df.select(_tick(seconds), kind.alias("_kind"), "bucket").distinct().groupBy("tick").agg(F.count(F.lit(1)).alias("num_stats"))
 
 
-def metrics(df: DataFrame, *, seconds: int = 10, thresholds: Sequence[int] = (90,), prefix: str = "stats", counter_prefix: str = "counters", timer_prefix: str = "timers", gauge_prefix: str = "gauges", statsd_prefix: str = "statsd", legacy: bool = False) -> DataFrame:
-    """tick, name, value, is_whole: all of a tick's metrics under their full names."""
+def metrics(df: DataFrame, *, seconds: int = 10, thresholds: Sequence[int] = (90,), prefix: str = "stats", counter_prefix: str = "counters", timer_prefix: str = "timers", gauge_prefix: str = "gauges", statsd_prefix: str = "statsd", legacy: bool = False, order: Sequence[str] = ("timestamp",), idle: bool = False) -> DataFrame:
+    """tick, name, value, is_whole, field_is_whole: all of a tick's metrics under their full names.
+
+    With idle, statistics without a sample stay: counters and timers as zero,
+    gauges with their last value.  The old names have whole rates in fields.
+    """
     dotted = lambda *parts: F.concat_ws(".", *[p if isinstance(p, Column) else F.lit(p) for p in parts if not isinstance(p, str) or p])
-    cell = lambda name, v, whole=False: F.struct(name.alias("name"), v.cast("double").alias("value"), F.lit(whole).alias("is_whole"))
+    cell = lambda name, v, whole=False, field=False: F.struct(name.alias("name"), v.cast("double").alias("value"), F.lit(whole).alias("is_whole"), F.lit(whole or field).alias("field_is_whole"))
+    held = (lambda made: with_idle(made, seconds=seconds)) if idle else (lambda made: made)
     b = F.col("bucket")
-    counted = counters(df, seconds=seconds)
+    counted = held(counters(df, seconds=seconds))
     if legacy:
-        cells = F.array(cell(dotted(prefix, b), F.col("rate")), cell(dotted("stats_counts", b), F.col("count"), True))
+        cells = F.array(cell(dotted(prefix, b), F.col("rate"), field=True), cell(dotted("stats_counts", b), F.col("count"), True))
     else:
         cells = F.array(cell(dotted(prefix, counter_prefix, b, "rate"), F.col("rate")), cell(dotted(prefix, counter_prefix, b, "count"), F.col("count"), True))
     out = counted.select("tick", F.explode(cells).alias("_c"))
-    out = out.union(gauges(df, seconds=seconds).select("tick", cell(dotted(prefix, gauge_prefix, b), F.col("value"))))
-    timed = timers(df, seconds=seconds, thresholds=thresholds)
+    gauged = gauges(df, seconds=seconds, order=order)
+    gauged = carried(gauged, seconds=seconds) if idle else gauged
+    out = out.union(gauged.select("tick", cell(dotted(prefix, gauge_prefix, b), F.col("value"))))
+    timed = held(timers(df, seconds=seconds, thresholds=thresholds))
     cells = F.array(*[cell(dotted(prefix, timer_prefix, b, c), F.col(c), c == "count") for c in timed.columns[2:]])
     out = out.union(timed.select("tick", F.explode(cells)))
-    out = out.union(numbers_of_stats(df, seconds=seconds).select("tick", cell(F.lit(f"{statsd_prefix}.numStats" if legacy else f"{prefix}.{statsd_prefix}.numStats"), F.col("num_stats"), True)))
+    numbers = counted.select("tick").unionAll(gauged.select("tick")).unionAll(timed.select("tick")).groupBy("tick").agg(F.count(F.lit(1)).alias("num_stats")) if idle else numbers_of_stats(df, seconds=seconds)
+    out = out.union(numbers.select("tick", cell(F.lit(f"{statsd_prefix}.numStats" if legacy else f"{prefix}.{statsd_prefix}.numStats"), F.col("num_stats"), True)))
     return out.select("tick", "_c.*")
 
 
+def in_fields(named: DataFrame, *, type_: str = "statmetric") -> DataFrame:
+    """A message a tick: the field timestamp (s), then a field for each metric in order of name."""
+    whole, value = F.col("field_is_whole"), F.col("value")
+    one = F.when(whole, M.field(F.col("name"), value.cast("bigint"), "integer")).otherwise(M.field(F.col("name"), value, "double"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("name", one.alias("_f")))), lambda x: x["_f"])
+    rows = named.groupBy("tick").agg(ordered.alias("_f"))
+    return M.messages(rows, type=F.lit(type_), timestamp=F.col("tick") * 1_000_000_000, fields=F.concat(F.array(M.field("timestamp", F.col("tick"), "integer")), F.col("_f")))
+
+
 def payload(named: DataFrame) -> DataFrame:
     """tick, payload: the metrics of each tick as lines of name, value and time, in order of name."""
     shown = F.when(F.col("is_whole"), F.col("value").cast("bigint").cast("string")).otherwise(F.format_string("%f", "value"))

@@ -27,7 +27,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _matched(spec: str) -> Query:
-    return lambda spark, sf_dir: matcher.match(tables.events(spark, sf_dir), spec).select("event_id", "type")
+    return lambda spark, sf_dir: tables.events(spark, sf_dir, spec).select("event_id", "type")
 
 
 def _matches(name: str, spec: str, where: str) -> None:
@@ -54,7 +54,7 @@ _matches("match_constants", "TRUE && (FALSE || Fields[k] <= 3)", f"{_K} <= 3")
 @query("""SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket, count(*) AS n FROM events WHERE event_type = 'error' AND value > 50 GROUP BY 1""")
 def events_per_hour(spark, sf_dir):
     """How many errors of value over 50 there are each hour."""
-    errors = matcher.match(tables.events(spark, sf_dir), "Type == 'error' && Fields[value] > 50")
+    errors = tables.events(spark, sf_dir, "Type == 'error' && Fields[value] > 50")
     return errors.groupBy(M.bucket(3600).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -179,15 +179,56 @@ def statsd_numstats(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT tick, bucket, CAST(sum(CAST(trunc(CAST(value AS FLOAT) * (1::FLOAT / sampling)) AS BIGINT)) AS BIGINT) AS n FROM {_DUCK_STATS.replace('86400', '100000')} WHERE modifier = 'c' GROUP BY 1, 2),
+    f"""WITH s AS (SELECT * REPLACE (floor(value) AS value) FROM {_DUCK_STATS.replace('86400', '100000')}),
+c AS (SELECT tick, bucket, CAST(sum(CAST(trunc(CAST(value AS FLOAT) * (1::FLOAT / sampling)) AS BIGINT)) AS BIGINT) AS n FROM s WHERE modifier = 'c' GROUP BY 1, 2),
+g AS (SELECT tick, bucket, arg_max(value, (ts, event_id)) AS v FROM s WHERE modifier = 'g' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY tick, bucket ORDER BY value) AS rn, count(*) OVER (PARTITION BY tick, bucket) AS n FROM s WHERE modifier = 'ms'),
+t AS (SELECT tick, 'stats.timers.' || bucket || '.' AS name, count(*) AS n, min(value) AS lo, max(value) AS hi, sum(value) AS s, CAST(max(n - CAST(floor(0.1 * n + 0.5) AS BIGINT)) AS BIGINT) AS k,
+  sum(value) FILTER (rn <= n - CAST(floor(0.1 * n + 0.5) AS BIGINT)) AS sk, max(value) FILTER (rn <= n - CAST(floor(0.1 * n + 0.5) AS BIGINT)) AS hk FROM r GROUP BY tick, bucket),
 l AS (SELECT tick, 'stats.counters.' || bucket || '.count' AS name, CAST(n AS VARCHAR) AS v FROM c
 UNION ALL SELECT tick, 'stats.counters.' || bucket || '.rate', printf('%.6f', n / 100000.0::DOUBLE) FROM c
-UNION ALL SELECT tick, 'stats.statsd.numStats', CAST(count(*) AS VARCHAR) FROM c GROUP BY tick)
+UNION ALL SELECT tick, 'stats.gauges.' || bucket, printf('%.6f', v) FROM g
+UNION ALL SELECT tick, name || 'count', CAST(n AS VARCHAR) FROM t UNION ALL SELECT tick, name || 'count_ps', printf('%.6f', n / 100000.0::DOUBLE) FROM t
+UNION ALL SELECT tick, name || 'lower', printf('%.6f', lo) FROM t UNION ALL SELECT tick, name || 'upper', printf('%.6f', hi) FROM t
+UNION ALL SELECT tick, name || 'sum', printf('%.6f', s) FROM t UNION ALL SELECT tick, name || 'mean', printf('%.6f', s / n) FROM t
+UNION ALL SELECT tick, name || 'mean_90', printf('%.6f', CASE WHEN k > 0 THEN sk / k ELSE lo END) FROM t UNION ALL SELECT tick, name || 'upper_90', printf('%.6f', CASE WHEN k > 0 THEN hk ELSE hi END) FROM t
+UNION ALL SELECT tick, 'stats.statsd.numStats', CAST(count(DISTINCT modifier || bucket) AS VARCHAR) FROM s GROUP BY tick)
 SELECT tick, string_agg(name || ' ' || v || ' ' || tick, chr(10) ORDER BY name) || chr(10) AS payload FROM l GROUP BY tick"""
 )
 def statsd_payload(spark, sf_dir):
-    counted = _event_stats(spark, sf_dir).where("modifier = 'c'")
-    return statsd.payload(statsd.metrics(counted, seconds=100000))
+    """All of a tick's counters, gauges and timers; samples are whole, so that every engine sums and rounds alike."""
+    named = statsd.metrics(_whole_stats(spark, sf_dir), seconds=100000, order=["timestamp", "event_id"])
+    return statsd.payload(named)
+
+
+def _whole_stats(spark, sf_dir):
+    df = _event_stats(spark, sf_dir)
+    return df.withColumn("value", F.floor(F.col("value").cast("double")).cast("string"))
+
+
+@query(
+    f"""WITH c AS (SELECT tick, bucket, CAST(sum(CAST(trunc(CAST(value AS FLOAT) * (1::FLOAT / sampling)) AS BIGINT)) AS BIGINT) AS n FROM {_DUCK_STATS} WHERE modifier = 'c' GROUP BY 1, 2),
+b AS (SELECT bucket, min(tick) AS first FROM c GROUP BY 1), t AS (SELECT bucket, unnest(generate_series(first, (SELECT max(tick) FROM c), 86400)) AS tick FROM b)
+SELECT tick, bucket, coalesce(n, 0) AS count, coalesce(n, 0) / 86400.0::DOUBLE AS rate FROM t LEFT JOIN c USING (tick, bucket)"""
+)
+def statsd_counters_idle(spark, sf_dir):
+    """Counters go on as zero in ticks without a sample."""
+    return statsd.with_idle(statsd.counters(_event_stats(spark, sf_dir), seconds=86400), seconds=86400)
+
+
+@query(
+    f"""WITH s AS (SELECT * REPLACE (floor(value) AS value) FROM {_DUCK_STATS.replace('86400', '100000')}),
+c AS (SELECT tick, bucket, CAST(sum(CAST(trunc(CAST(value AS FLOAT) * (1::FLOAT / sampling)) AS BIGINT)) AS BIGINT) AS n FROM s WHERE modifier = 'c' GROUP BY 1, 2),
+l AS (SELECT tick, 'stats_counts.' || bucket AS name, n AS v FROM c UNION ALL SELECT tick, 'stats.' || bucket, CAST(trunc(n / 100000.0::DOUBLE) AS BIGINT) FROM c
+UNION ALL SELECT tick, 'statsd.numStats', count(*) FROM c GROUP BY tick UNION ALL SELECT DISTINCT tick, '', tick FROM c)
+SELECT tick, string_agg(CASE name WHEN '' THEN 'timestamp' ELSE name END || '=' || v, ',' ORDER BY name) AS fields FROM l GROUP BY tick"""
+)
+def statsd_fields_legacy(spark, sf_dir):
+    """A message a tick with the statistics as fields, under the old names."""
+    counted = _whole_stats(spark, sf_dir).where("modifier = 'c'")
+    made = statsd.in_fields(statsd.metrics(counted, seconds=100000, legacy=True))
+    shown = F.transform("fields", lambda f: F.concat_ws("=", f["name"], F.get(f["value_integer"], F.lit(0)).cast("string")))
+    return made.select((F.col("timestamp") / 1_000_000_000).cast("bigint").alias("tick"), F.array_join(shown, ",").alias("fields"))
 
 
 @query(
@@ -267,11 +308,11 @@ def users_by_device(spark, sf_dir):
 
 
 def _host_series(spark, sf_dir):
-    df = tables.events(spark, sf_dir).where(F.col("hostname").isin([f"host-{i}" for i in range(8)]))
+    df = tables.events(spark, sf_dir)
     return series.aggregate(df, {"k": M.number("k"), "value": M.number("value")}, seconds=86400, how="max", keys=["hostname"])
 
 
-_DUCK_HOSTS = f"(SELECT 'host-' || user_id AS hostname, {_TICK.format(86400)} AS bucket_start, max({_K})::DOUBLE AS k, max(value) AS v FROM events WHERE user_id < 8 GROUP BY 1, 2)"
+_DUCK_HOSTS = f"(SELECT 'host-' || user_id AS hostname, {_TICK.format(86400)} AS bucket_start, max({_K})::DOUBLE AS k, max(value) AS v FROM events GROUP BY 1, 2)"
 
 
 @query(f"SELECT bucket_start, 'k' AS col, sum(k) AS value FROM {_DUCK_HOSTS} GROUP BY 1 UNION ALL SELECT bucket_start, 'value', max(v) FROM {_DUCK_HOSTS} GROUP BY 1")
@@ -279,9 +320,20 @@ def cbuf_merge_sum(spark, sf_dir):
     return series.merge(_host_series(spark, sf_dir), {"k": "sum", "value": "max"})
 
 
-@query("SELECT bucket_start, " + ", ".join(f"sum(k) FILTER (hostname = 'host-{i}') AS \"host-{i}\"" for i in range(8)) + f" FROM {_DUCK_HOSTS} GROUP BY 1")
+@query(f"SELECT bucket_start, hostname, k AS value FROM {_DUCK_HOSTS} WHERE k IS NOT NULL")
 def cbuf_by_host(spark, sf_dir):
-    return series.by_host(_host_series(spark, sf_dir).where("col = 'k'"), [f"host-{i}" for i in range(8)])
+    """Every host's column, in long form: hosts are too many for columns of a table."""
+    return series.host_columns(_host_series(spark, sf_dir).where("col = 'k'"))
+
+
+@query(
+    f"""SELECT bucket_start, {", ".join(f"sum(v) FILTER (type = '{t}') AS {t}" for t in ("click", "error", "purchase", "signup", "view"))} FROM
+(SELECT event_type AS type, {_TICK.format(86400)} AS bucket_start, sum({_K})::DOUBLE AS v FROM events GROUP BY 1, 2) GROUP BY 1"""
+)
+def cbuf_pivot(spark, sf_dir):
+    """A column for each type: the columns are found in the series."""
+    made = series.aggregate(tables.events(spark, sf_dir), {"k": M.number("k")}, seconds=86400, keys=["type"])
+    return series.by_host(made, host="type", max_hosts=10)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import message as M
+from ..operators import matcher
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +17,23 @@ def nanos(ntz: Column) -> Column:
     return M.micros(ntz) * 1000
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id and the event as a message: user_id, value and k are fields."""
-    df = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    bag = M.fields(M.field("user_id", F.col("user_id"), "integer"), M.field("value", F.col("value"), "double"), M.field("k", k, "integer"))
-    return M.messages(df, extra=["event_id"], required=("type", "timestamp"), uuid=M.stable_uuid(F.lit("events"), F.col("event_id")), timestamp=nanos(F.col("ts")), type=F.col("event_type"), logger=F.lit("events"), payload=F.col("props"), hostname=F.concat(F.lit("host-"), F.col("user_id").cast("string")), severity=F.when(F.col("event_type") == "error", F.lit(3)).otherwise(F.lit(6)), fields=bag)
+def events(spark: SparkSession, sf_dir: str, spec: str = "TRUE") -> DataFrame:
+    """event_id and the event as a message, of those that the matcher chooses: user_id, value and k are fields."""
+    sources = {"user_id": (F.col("user_id"), "integer"), "value": (F.col("value"), "double"), "k": (F.get_json_object("props", "$.k").cast("bigint"), "integer")}
+    return matcher.from_columns(
+        table(spark, sf_dir, "events"),
+        spec,
+        sources,
+        extra=["event_id"],
+        required=("type", "timestamp"),
+        uuid=M.stable_uuid(F.lit("events"), F.col("event_id")),
+        timestamp=nanos(F.col("ts")),
+        type=F.col("event_type"),
+        logger=F.lit("events"),
+        payload=F.col("props"),
+        hostname=F.concat(F.lit("host-"), F.col("user_id").cast("string")),
+        severity=F.when(F.col("event_type") == "error", F.lit(3)).otherwise(F.lit(6)),
+    )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

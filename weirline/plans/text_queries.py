@@ -237,37 +237,35 @@ def encode_payload(spark, sf_dir):
     return tables.events(spark, sf_dir).select("event_id", encoders.payload(prefix_ts=True).alias("line"))
 
 
-def _compact(spark, sf_dir):
-    """Events with integer fields only, so that every engine writes the numbers alike."""
-    df = tables.events(spark, sf_dir)
-    return df.withColumn("fields", M.without_field("value"))
+#: DuckDB: a double in its shortest form.
+_SHORT = "CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END"
 
 
-@query(f"SELECT event_id, name || ' ' || v || ' ' || CAST(floor(epoch(ts)) AS BIGINT) AS line FROM (SELECT event_id, ts, 'm.user_id' AS name, user_id AS v FROM events UNION ALL SELECT event_id, ts, 'm.k', {_K} FROM events)")
+@query(f"SELECT event_id, name || ' ' || v || ' ' || CAST(floor(epoch(ts)) AS BIGINT) AS line FROM (SELECT event_id, ts, 'm.user_id' AS name, CAST(user_id AS VARCHAR) AS v FROM events UNION ALL SELECT event_id, ts, 'm.k', CAST({_K} AS VARCHAR) FROM events UNION ALL SELECT event_id, ts, 'm.value', {_SHORT} FROM events) WHERE regexp_full_match(v, '[0-9.]+')")
 def encode_carbon_line(spark, sf_dir):
-    return encoders.carbon_lines(_compact(spark, sf_dir), ["event_id"], prefix="m.")
+    return encoders.carbon_lines(tables.events(spark, sf_dir), ["event_id"], prefix="m.")
 
 
-@query(f"SELECT event_id, name || ',Logger=events,Type=' || event_type || ',Hostname=host-' || user_id || ' value=' || printf('%.6f', v::DOUBLE) || ' ' || CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS line FROM (SELECT *, 'user_id' AS name, user_id AS v FROM events UNION ALL SELECT *, 'k', {_K} FROM events)")
+@query(f"SELECT event_id, name || ',Logger=events,Type=' || event_type || ',Hostname=host-' || user_id || ' value=' || printf('%.6f', v::DOUBLE) || ' ' || CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS line FROM (SELECT *, 'user_id' AS name, user_id::DOUBLE AS v FROM events UNION ALL SELECT *, 'k', {_K} FROM events UNION ALL SELECT *, 'value', value FROM events) WHERE v IS NOT NULL")
 def encode_influx_line(spark, sf_dir):
-    return encoders.influx_lines(_compact(spark, sf_dir), ["event_id"], tags=["Logger", "Type", "Hostname"])
+    return encoders.influx_lines(tables.events(spark, sf_dir), ["event_id"], tags=["Logger", "Type", "Hostname"])
 
 
-@query(f"""SELECT event_id, '{{"index":{{"_index":"messages-' || strftime(ts, '%Y.%m.%d') || '","_type":"message"}}}}' || chr(10) || '{{"Type":"' || event_type || '","Payload":"' || replace(props, '"', '\\u0022') || '","Hostname":"host-' || user_id || '","user_id":' || user_id || ',"k":' || {_K} || '}}' || chr(10) AS line FROM events""")
+@query(f"""SELECT event_id, '{{"index":{{"_index":"messages-' || strftime(ts, '%Y.%m.%d') || '","_type":"message"}}}}' || chr(10) || '{{"Type":"' || event_type || '","Payload":"' || replace(props, '"', '\\u0022') || '","Hostname":"host-' || user_id || '","user_id":' || user_id || ',"value":' || {_SHORT} || ',"k":' || {_K} || '}}' || chr(10) AS line FROM events""")
 def encode_es_json(spark, sf_dir):
-    return _compact(spark, sf_dir).select("event_id", encoders.es_json(fields=["Type", "Payload", "Hostname", "DynamicFields"]).alias("line"))
+    return tables.events(spark, sf_dir).select("event_id", encoders.es_json(fields=["Type", "Payload", "Hostname", "DynamicFields"]).alias("line"))
 
 
-@query(f"""SELECT event_id, '[{{"points":[[' || CAST(floor(epoch_us(ts) / 1000) AS BIGINT) || ',"' || event_type || '",' || user_id || ',' || {_K} || ']],"name":"s-' || event_type || '","columns":["time","Type","user_id","k"]}}]' AS line FROM events""")
+@query(f"""SELECT event_id, '[{{"points":[[' || CAST(floor(epoch_us(ts) / 1000) AS BIGINT) || ',"' || event_type || '",' || user_id || ',' || {_SHORT} || ',' || {_K} || ']],"name":"s-' || event_type || '","columns":["time","Type","user_id","value","k"]}}]' AS line FROM events""")
 def encode_influx_json(spark, sf_dir):
-    return _compact(spark, sf_dir).select("event_id", encoders.influx_json(series="s-%{Type}", skip=["Payload", "Hostname", "Pid", "Logger", "Severity", "EnvVersion"]).alias("line"))
+    return tables.events(spark, sf_dir).select("event_id", encoders.influx_json(series="s-%{Type}", skip=["Payload", "Hostname", "Pid", "Logger", "Severity", "EnvVersion"]).alias("line"))
 
 
-@query("""SELECT event_id, chr(10) || ':Timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || regexp_replace(strftime(ts, '.%f'), '\\.?0+$', '') || ' +0000 UTC' || chr(10) || ':Type: ' || event_type || chr(10) || ':Hostname: host-' || user_id || chr(10) || ':Pid: 0' || chr(10) || ':Uuid: '
-|| regexp_replace(md5('events' || chr(31) || event_id), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') || chr(10) || ':Logger: events' || chr(10) || ':Payload: ' || props || chr(10) || ':EnvVersion: ' || chr(10) || ':Severity: ' || CASE event_type WHEN 'error' THEN 3 ELSE 6 END || chr(10)
-|| ':Fields:' || chr(10) || '    | name:"user_id" type:integer value:' || user_id || chr(10) || '    | name:"k" type:integer value:' || CAST(json_extract_string(props, '$.k') AS BIGINT) || chr(10) || chr(10) AS block FROM events""")
+@query(f"""SELECT event_id, chr(10) || ':Timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || regexp_replace(strftime(ts, '.%f'), '\\.?0+$', '') || ' +0000 UTC' || chr(10) || ':Type: ' || event_type || chr(10) || ':Hostname: host-' || user_id || chr(10) || ':Pid: 0' || chr(10) || ':Uuid: '
+|| regexp_replace(md5('events' || chr(31) || event_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || chr(10) || ':Logger: events' || chr(10) || ':Payload: ' || props || chr(10) || ':EnvVersion: ' || chr(10) || ':Severity: ' || CASE event_type WHEN 'error' THEN 3 ELSE 6 END || chr(10)
+|| ':Fields:' || chr(10) || '    | name:"user_id" type:integer value:' || user_id || chr(10) || '    | name:"value" type:double value:' || {_SHORT} || chr(10) || '    | name:"k" type:integer value:' || CAST(json_extract_string(props, '$.k') AS BIGINT) || chr(10) || chr(10) AS block FROM events""")
 def encode_rst(spark, sf_dir):
-    return _compact(spark, sf_dir).select("event_id", encoders.rst().alias("block"))
+    return tables.events(spark, sf_dir).select("event_id", encoders.rst().alias("block"))
 
 
 @query("SELECT event_id, 'Timestamp: ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || 'Hostname: host-' || user_id || chr(10) || 'Plugin: events' || chr(10) || 'Alert: ' || props || chr(10) AS block FROM events WHERE event_type = 'error'")
