@@ -9,6 +9,7 @@ two truth values.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +102,34 @@ def shortest(x: Column) -> Column:
     return F.when((x == F.floor(x)) & plain, F.floor(x).cast("bigint").cast("string")).otherwise(x.cast("string"))
 
 
+def general(x: Column) -> Column:
+    """A double in the shortest form that reads back, with an exponent of two digits below 1e-4 and from 1e6 on."""
+    plain = x.cast("string")
+    part = lambda k: F.regexp_extract(plain, r"^(-?)(\d+)\.(\d+)(?:E(-?\d+))?$", k)
+    digits = F.regexp_replace(F.concat(part(2), part(3)), r"^0+|0+$", "")
+    power = F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0))
+    # Java writes an exponent from 1e7 on and below 1e-3, so only 1e6 to 1e7 and 1e-4 to 1e-3 are turned over.
+    exponent = F.when(part(4) != "", power).otherwise(F.length(part(2)) - 1)
+    raised = F.concat(part(1), F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit("")), F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")), F.format_string("%02d", F.abs(exponent)))
+    low = F.concat(part(1), F.lit("0.000"), digits)
+    size = F.abs(x)
+    special = F.when(F.isnan(x), F.lit("NaN")).when(x == F.lit(float("inf")), F.lit("+Inf")).when(x == F.lit(float("-inf")), F.lit("-Inf"))
+    shown = F.when(x == 0, F.lit("0")).when((size >= 1e6) | (size < 1e-4), raised).when(size < 1e-3, low).otherwise(F.regexp_replace(plain, r"\.0$", ""))
+    return F.coalesce(special, shown)
+
+
+def variable(name: str) -> Column:
+    """A message variable as text, '' if it is missing: Type, Logger, Hostname, Payload, or Fields[name][index][element]."""
+    if name in ("Type", "Logger", "Hostname", "Payload"):
+        return F.col(name.lower())
+    found = re.fullmatch(r"Fields\[([^\]]+)\](?:\[(\d+)\])?(?:\[(\d+)\])?", name)
+    if not found:
+        raise ValueError(f"no message variable: {name}")
+    of = find(found[1], int(found[2] or 0))
+    at = lambda c: F.get(of[c], F.lit(int(found[3] or 0)))
+    return F.coalesce(at("value_string"), at("value_bytes").cast("string"), at("value_integer").cast("string"), general(at("value_double")), at("value_bool").cast("string"), F.lit(""))
+
+
 def with_field(added: Column) -> Column:
     return F.array_append("fields", added)
 

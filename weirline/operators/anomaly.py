@@ -65,13 +65,26 @@ def _check(test: Test, rows: int) -> None:
         raise ValueError(f"{test.name} - algorithm: {test.algorithm} col: {test.col} msg: arguments out of range")
 
 
-def roc(series: DataFrame, test: Test, *, seconds: int, rows: int, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
+def with_gaps(series: DataFrame, *, seconds: int, reach: int, keys: Sequence[str] = (), value: str = "value", now: int | None = None) -> DataFrame:
+    """series and, after each bucket that is followed by none, up to `reach` empty ones (value null), up to now (s) after the last."""
+    order = Window.partitionBy(*keys).orderBy("bucket_start")
+    end = F.lit(now) if now is not None else F.col("bucket_start")
+    until = F.least(F.coalesce(F.lead("bucket_start").over(order) - seconds, end), F.col("bucket_start") + reach * seconds).cast("bigint")
+    gaps = series.select(*keys, "bucket_start", until.alias("_to")).where(F.col("_to") >= F.col("bucket_start") + seconds)
+    empty = gaps.select(*keys, F.explode(F.sequence(F.col("bucket_start") + seconds, "_to", F.lit(seconds).cast("bigint"))).alias("bucket_start"), F.lit(None).cast("double").alias(value))
+    return series.select(*keys, F.col("bucket_start").cast("bigint").alias("bucket_start"), value).unionByName(empty)
+
+
+def roc(series: DataFrame, test: Test, *, seconds: int, rows: int, keys: Sequence[str] = (), value: str = "value", now: int | None = None) -> DataFrame:
     """keys, bucket_start, current_avg, previous_avg, history_sd, msg: at each bucket, what the test says when it begins.
 
-    The bucket itself is incomplete and takes no part.  Windows are ranges of
-    time, so a bucket without a row counts as empty without being made.
+    The bucket itself is incomplete and takes no part.  Buckets without a row
+    are judged too, for as long as the windows before them reach data: between
+    rows, and after a series' last row up to now (s), so that a loss of data
+    shows while it lasts.
     """
     _check(test, rows)
+    series = with_gaps(series, seconds=seconds, reach=2 * test.win, keys=keys, value=value, now=now)
     order = Window.partitionBy(*keys).orderBy("bucket_start")
     step, win = seconds, test.win
     current = order.rangeBetween(-win * step, -step)
@@ -156,13 +169,31 @@ def mann_whitney_alerts(series: DataFrame, test: Test, *, seconds: int, rows: in
 def throttled(alerts: DataFrame, *, seconds: int = 3600, keys: Sequence[str] = ("logger",), time: str = "timestamp") -> DataFrame:
     """Alerts (time in ns) that pass when none may follow another of its keys within `seconds`.
 
-    An alert's chain of passes depends on the passes before it, so the times of
-    one key are folded in order; alerts are few by nature.
+    An alert's chain of passes depends on the passes before it, but a silence of
+    `seconds` ends a chain, so that keys are cut there into episodes.  The first
+    alert of each passes; only in episodes that last `seconds` or longer are
+    the times followed, from pass to pass, one episode in one task.
     """
     limit = seconds * 1_000_000_000
-    times = alerts.groupBy(*keys).agg(F.array_sort(F.collect_set(time)).alias("_t"))
-    step = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= limit), F.array_append(acc, t)).otherwise(acc)
-    passed = times.select(*keys, F.explode(F.aggregate("_t", F.array().cast("array<bigint>"), step)).alias(time))
+    times = alerts.select(*keys, time).distinct()
+    order = Window.partitionBy(*keys).orderBy(time)
+    begins = (F.col(time) - F.lag(time).over(order) >= limit).cast("int")
+    episodes = times.withColumn("_begins", begins).withColumn("_episode", F.sum(F.coalesce("_begins", F.lit(0))).over(order)).drop("_begins")
+
+    def follow(frame: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(frame[time].to_numpy())
+        passed, k = [], 0
+        while k < len(at):
+            passed.append(at[k])
+            k = int(np.searchsorted(at, at[k] + limit))
+        return frame[frame[time].isin(passed)][[*keys, time]]
+
+    types = ", ".join(f"`{k}` {alerts.schema[k].dataType.simpleString()}" for k in [*keys, time])
+    own = Window.partitionBy(*keys, "_episode")
+    whole = episodes.withColumns({"_first": F.min(time).over(own), "_last": F.max(time).over(own)})
+    long = F.col("_last") - F.col("_first") >= limit
+    passed = whole.where(~long & (F.col(time) == F.col("_first"))).select(*keys, time)
+    passed = passed.unionByName(whole.where(long).groupBy(*keys, "_episode").applyInPandas(follow, types))
     return alerts.join(passed, [*keys, time], "left_semi")
 
 

@@ -13,6 +13,8 @@ import math
 import re
 from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,13 @@ def _number(text: str) -> float:
     return value if math.isfinite(value) else 0.0
 
 
+def _checked(java: str) -> None:
+    """An error now, and not in the first task, if the pattern is none."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        context._jvm.java.util.regex.Pattern.compile(java)
+
+
 def _text_test(sql: str, op: str, value: re.Match) -> str:
     """A condition on text; numbers never match."""
     if value["num"] is not None:
@@ -59,8 +68,9 @@ def _text_test(sql: str, op: str, value: re.Match) -> str:
         pattern = value["re"].replace("\\/", "/")
         try:
             java = to_java(pattern)
-        except (ValueError, KeyError) as e:
-            raise MatcherError(str(e)) from e
+            _checked(java)
+        except (ValueError, KeyError, Py4JJavaError) as e:
+            raise MatcherError(f"{pattern}: {str(e).splitlines()[0]}") from e
         affix = plain_affix(pattern)
         found = f"{affix[0]}({sql}, {_quoted(affix[1])})" if affix else f"rlike({sql}, {_quoted(java)})"
         return found if op == "=~" else f"NOT {found}"
@@ -166,6 +176,9 @@ def to_sql(spec: str, columns: Mapping[str, tuple[str, str]] | None = None) -> s
             break
     if depth:
         raise MatcherError(f"unmatched bracket: {spec}")
+    for left, right in zip(["(", *out], [*out, ")"], strict=True):
+        if left in ("AND", "OR", "(") and right in ("AND", "OR", ")"):
+            raise MatcherError(f"no term beside an operator: {spec}")
     for left, right in zip(out, out[1:], strict=False):
         if left not in ("AND", "OR", "(") and right not in ("AND", "OR", ")"):
             raise MatcherError(f"no operator between two terms: {spec}")

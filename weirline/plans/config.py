@@ -1,8 +1,9 @@
-"""A flow from a TOML text: inputs, decoders, filters and outputs, each with the matcher of what it takes.
+"""A flow from a TOML text: inputs, splitters, decoders, filters and outputs, each with the matcher of what it takes.
 
     [clicks]                      # the section's name
-    kind = "input"                # input, decoder, filter, encoder or output
+    kind = "input"                # input, splitter, decoder, filter, encoder or output
     type = "parquet_events"       # a name in the registry (the section's own by default)
+    splitter = "lines"            # of an input: a registered splitter, or a section of kind splitter
     decoder = "json"              # of an input: a registered decoder, or a section of kind decoder
     path = "%ENV[DATA]/events.parquet"
 
@@ -14,7 +15,9 @@
 %ENV[NAME] is replaced by the environment's value.  Every filter reads the
 inputs' messages, and what filters of an earlier level emit, up to max_loops
 levels; it never reads its own output.  Spark plans all of it: a section is a
-DataFrame, evaluated when an output writes it.
+DataFrame, evaluated when an output writes it.  If an input is a stream, so is
+the flow: each output is a streaming query with a checkpoint of its own, which
+goes on where it ended, and filters are their streaming forms.
 """
 
 from __future__ import annotations
@@ -26,16 +29,18 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import message as M
 from ..functions import text as X
-from ..operators import anomaly, decoders, encoders, items, matcher, series, statsd
+from ..operators import anomaly, decoders, encoders, items, matcher, series, splitters, statsd, system
 from ..sources import python_sources, readers, sinks
+from ..streaming import stateful
 from . import registry
 from .registry import plugin
 
 MAX_LOOPS = 4
-_COMMON = {"kind", "type", "message_matcher", "message_signer", "decoder", "encoder"}
+_COMMON = {"kind", "type", "message_matcher", "message_signer", "splitter", "decoder", "encoder", "guarded", "trigger"}
 
 
 def substituted(text: str, environment: Mapping[str, str] | None = None) -> str:
@@ -93,10 +98,19 @@ class Flow:
         rows = rows.select(*M.ENVELOPE, "fields", *(["signer"] if "signer" in rows.columns else []))
         if "signer" not in rows.columns:
             rows = rows.withColumn("signer", F.lit(""))
+        if splitter := s.get("splitter"):
+            rows = self._split(rows, splitter)
         if decoder := s.get("decoder"):
             rows = decoders.decode(rows, self._make("decoder", decoder), keep=["signer"]).where("decode_error IS NULL").drop("decode_error")
         return rows
 
+    def _split(self, rows: DataFrame, name: str) -> DataFrame:
+        """A message for each record of a payload, like the message it was in."""
+        own = name in self.sections and self.sections[name]["kind"] == "splitter"
+        f = registry.get("splitter", self.sections[name].get("type", name) if own else name)
+        made = f(rows, **(self._options(name) if own else {}))
+        return made.withColumn("payload", F.col("record")).select(*rows.columns)
+
     @staticmethod
     def _union(frames) -> DataFrame:
         out = None
@@ -119,7 +133,12 @@ class Flow:
     def _run(self, name: str, level: DataFrame) -> DataFrame:
         s = self.sections[name]
         chosen = matcher.match(level, s["message_matcher"], signer=s.get("message_signer"))
-        made = registry.get("filter", s.get("type", name))(chosen, **self._options(name))
+        kind = s.get("type", name)
+        if chosen.isStreaming and kind not in registry.PLUGINS["stream_filter"]:
+            raise ValueError(f"[{name}]: {kind} needs whole tables; in a stream there are {', '.join(sorted(registry.PLUGINS['stream_filter']))}")
+        made = registry.get("stream_filter" if chosen.isStreaming else "filter", kind)(chosen, **self._options(name))
+        if s.get("guarded"):
+            made = matcher.injected(made, name)
         if set(M.ENVELOPE) <= set(made.columns):
             made = made.withColumn("signer", F.lit("")) if "signer" not in made.columns else made
         return made
@@ -132,12 +151,29 @@ class Flow:
         s = self.sections[output]
         return matcher.match(self.messages(), s["message_matcher"], signer=s.get("message_signer"))
 
-    def run(self) -> None:
-        """Writes every output."""
+    def run(self, checkpoint: str | None = None) -> dict[str, StreamingQuery]:
+        """Writes every output; in a stream, starts a query for each, by name, with its checkpoint in that folder.
+
+        A section's trigger is Spark's interval ("10 seconds"); a batch that
+        fails is repeated, so an output may see it twice.
+        """
+        started = {}
         for name in self._of("output"):
             s = self.sections[name]
             line = self._make("encoder", s.get("encoder", "payload"))
-            registry.get("output", s.get("type", name))(self.routed(name), line, **self._options(name))
+            write, rows = registry.get("output", s.get("type", name)), self.routed(name)
+            if not rows.isStreaming:
+                write(rows, line, **self._options(name))
+                continue
+            if not checkpoint:
+                raise ValueError("a streaming flow needs a checkpoint folder")
+            to = rows.writeStream.foreachBatch(self._writer(write, line, self._options(name))).queryName(name).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}")
+            started[name] = (to.trigger(processingTime=s["trigger"]) if "trigger" in s else to).start()
+        return started
+
+    @staticmethod
+    def _writer(write, line: Column, options: dict):
+        return lambda batch, epoch: write(batch, line, **options)
 
 
 # What a configuration can name
@@ -169,6 +205,36 @@ def _messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(M.schema()).parquet(path)
 
 
+@plugin("input", "files")
+def _files(spark: SparkSession, path: str, message_type: str = "file") -> DataFrame:
+    """Whole files, for a splitter."""
+    rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return M.messages(rows, type=F.lit(message_type), logger=F.col("file"), payload=F.col("value"))
+
+
+@plugin("input", "kafka")
+def _kafka_input(spark: SparkSession, servers: str, topic: str, partition: int | None = None, offsets: str = "earliest", protobuf: bool = True) -> DataFrame:
+    return readers.kafka(spark, servers, topic, partition=partition, offsets=offsets, protobuf=protobuf)
+
+
+@plugin("splitter", "lines")
+def _lines(df: DataFrame, delimiter: str = "\n", count: int = 1, deliver_incomplete_final: bool = True, **limits) -> DataFrame:
+    return splitters.token(df, "payload", delimiter=delimiter, count=count, deliver_incomplete_final=deliver_incomplete_final, **limits)
+
+
+plugin("splitter", "token")(_lines)
+
+
+@plugin("splitter", "regex")
+def _regex_splitter(df: DataFrame, delimiter: str, delimiter_eol: bool = True, deliver_incomplete_final: bool = True, **limits) -> DataFrame:
+    return splitters.regex(df, "payload", delimiter, delimiter_eol=delimiter_eol, deliver_incomplete_final=deliver_incomplete_final, **limits)
+
+
+@plugin("splitter", "null")
+def _whole(df: DataFrame, **limits) -> DataFrame:
+    return splitters.whole(df, "payload", **limits)
+
+
 for _kind in python_sources.SOURCES:
 
     @plugin("input", _kind)
@@ -257,6 +323,72 @@ def _alert_throttle(df: DataFrame, alert_throttle: int = 3600) -> DataFrame:
     return anomaly.throttled(df, seconds=alert_throttle)
 
 
+def _shown(made: DataFrame, columns: dict, title: str, rows: int, seconds: int) -> DataFrame:
+    """A series of each host as a message with its text."""
+    kept = series.retained(made, rows, seconds, ["hostname"])
+    drawn = series.render(kept, columns, rows=rows, seconds=seconds, keys=["hostname"])
+    bag = M.fields(M.field("payload_type", F.lit("cbuf"), "string", "file-extension"), M.field("payload_name", F.lit(title), "string"))
+    return M.messages(drawn, type=F.lit("sandbox-output"), logger=F.lit(title), hostname=F.col("hostname"), payload=F.col("payload"), fields=bag)
+
+
+def _system(name: str, make, columns: list[str], title: str) -> None:
+    def run(df: DataFrame, sec_per_row: int = 60, rows: int = 1440, title: str = title) -> DataFrame:
+        return _shown(make(df, seconds=sec_per_row), {c: ("count", "max") for c in columns}, title, rows, sec_per_row)
+
+    plugin("filter", name)(run)
+
+
+_system("load_average", system.load_average, system.LOAD, "Load Average")
+_system("memory", system.memory, [*system.MEMORY, "SwapUsed"], "Memory")
+_system("heap", system.heap, system.HEAP, "Heap")
+_system("disks", system.disks, [*sorted(system.DISK_TOTALS), *system.DISK_TIMES], "Disks")
+_system("processors", system.processors, ["cpu", "ctxt", "processes"], "Processors")
+
+
+@plugin("filter", "heartbeat")
+def _heartbeat(df: DataFrame, now_ns: int, heartbeat_timeout: int = 30) -> DataFrame:
+    seen = items.heartbeats(df, F.lit(now_ns), timeout=heartbeat_timeout)
+    return M.messages(seen, type=F.lit("heartbeat"), logger=F.lit("heartbeat"), hostname=F.col("hostname"), timestamp=F.col("last_heartbeat") * 1_000_000, payload=F.col("status"))
+
+
+@plugin("filter", "cbuf_merge")
+def _cbuf_merge(df: DataFrame, methods: dict) -> DataFrame:
+    """Series in payloads, of many hosts, as one."""
+    return series.merge(series.parse(df, keys=["hostname"]), methods)
+
+
+@plugin("filter", "anomaly")
+def _anomaly(df: DataFrame, anomaly_config: str, column: str, sec_per_row: int, rows: int, now: int) -> DataFrame:
+    """Alerts of a series in payloads: rate of change at now (s), or Mann-Whitney tests."""
+    made = series.parse(df, keys=["logger"]).where(F.col("col") == column).select("logger", "bucket_start", "value")
+    out = None
+    for test in anomaly.parse_config(anomaly_config):
+        if test.algorithm == "roc":
+            told = anomaly.roc(made, test, seconds=sec_per_row, rows=rows, keys=["logger"], now=now).where((F.col("bucket_start") == now) & F.col("msg").isNotNull()).select("logger", "msg")
+        else:
+            told = anomaly.mann_whitney_alerts(made, test, seconds=sec_per_row, rows=rows, now=now, keys=["logger"])
+        out = told if out is None else out.unionByName(told)
+    return M.messages(out, type=F.lit("alert"), logger=F.col("logger"), timestamp=F.lit(now * 1_000_000_000), payload=F.col("msg"))
+
+
+@plugin("stream_filter", "counter")
+def _count_stream(df: DataFrame, ticker_interval: int = 5, delay: str = "1 minute") -> DataFrame:
+    made = stateful.window_counts(df, seconds=ticker_interval, keys=[], delay=delay)
+    rate = F.col("n") / F.lit(float(ticker_interval))
+    return _payloads(made.withColumn("payload", F.format_string("Got %d messages. %.2f msg/sec", F.col("n"), rate)), "counter-output", "counter")
+
+
+@plugin("stream_filter", "heartbeat")
+def _heartbeat_stream(df: DataFrame, heartbeat_timeout: int = 30, alert_throttle: int = 300) -> DataFrame:
+    made = stateful.heartbeat_alerts(df, timeout=heartbeat_timeout, throttle=alert_throttle)
+    return M.messages(made, type=F.lit("heartbeat"), logger=F.lit("heartbeat"), hostname=F.col("hostname"), timestamp=F.col("at") * 1_000_000, payload=F.coalesce("alert", "status"))
+
+
+@plugin("stream_filter", "alert_throttle")
+def _throttle_stream(df: DataFrame, alert_throttle: int = 3600) -> DataFrame:
+    return M.messages(stateful.throttle(df, seconds=alert_throttle), type=F.lit("alert"), logger=F.col("logger"), timestamp=F.col("timestamp"), payload=F.col("payload"))
+
+
 for _name, _encoder in {"payload": encoders.payload, "rst": encoders.rst, "es_json": encoders.es_json, "es_logstash_v0": encoders.es_logstash_v0, "es_payload": encoders.es_payload, "alert": encoders.alert, "schema_influx": encoders.influx_json, "statmetric_influx": encoders.statmetric_influx}.items():
     plugin("encoder", _name)(_encoder)
 
@@ -296,8 +428,37 @@ def _carbon(df: DataFrame, line: Column, host: str, port: int, protocol: str = "
     sinks.carbon(host, port, protocol=protocol)(df, 0)
 
 
+@plugin("output", "kafka")
+def _kafka(df: DataFrame, line: Column, servers: str, **options) -> None:
+    sinks.kafka(servers, line, **options)(df, 0)
+
+
+@plugin("output", "smtp")
+def _smtp(df: DataFrame, line: Column, host: str, send_from: str, send_to: list, subject: str = "", port: int = 25, batched: bool = False) -> None:
+    """A mail a message; batched, one for all that a partition of the batch holds, and the section's trigger is the least time between them."""
+    sinks.deliver(df, line, sinks.smtp(host, send_from, send_to, subject, port=port), max_count=1 << 30 if batched else 1)
+
+
+@plugin("output", "nagios")
+def _nagios(df: DataFrame, line: Column, url: str, service_description: str = "", username: str = "", password: str = "") -> None:
+    sinks.nagios(url, service=service_description, user=username, password=password)(df, 0)
+
+
+@plugin("output", "archives")
+def _archives(df: DataFrame, line: Column, path: str) -> None:
+    """Carbon lines of payloads as averages in a table, by metric and archive."""
+    parts = F.split("line", r"\s+")
+    points = sinks.valid_carbon(df).select(F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(2)).cast("bigint").alias("time"), F.get(parts, F.lit(1)).cast("double").alias("value"))
+    sinks.archives(points).write.mode("append").parquet(path)
+
+
+@plugin("output", "dashboard")
+def _dashboard(df: DataFrame, line: Column, path: str) -> None:
+    sinks.latest_payloads(df).write.mode("overwrite").parquet(path)
+
+
 @plugin("output", "log")
-def _log(df: DataFrame, line: Column, rows: int = 1000) -> None:
-    """To the driver's standard output: for looking at, so at most that many lines."""
-    for r in df.select(line.cast("string")).take(rows):
-        print(r[0], end="")
+def _log(df: DataFrame, line: Column) -> None:
+    """To the driver's standard output, all lines, a partition of them here at a time."""
+    for r in df.select(line.cast("string")).toLocalIterator():
+        print(r[0] or "", end="")

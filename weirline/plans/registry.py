@@ -3,17 +3,19 @@
     @plugin("decoder", "my_format")
     def my_format(**options): ...        # -> Column
 
-Kinds: input (spark, **options) -> DataFrame of messages; decoder and encoder
-(**options) -> Column; filter (df, **options) -> DataFrame; output
-(df, encoder, **options) -> None.
+Kinds: input (spark, **options) -> DataFrame of messages; splitter (df,
+**options) -> DataFrame with seq and record; decoder and encoder (**options) ->
+Column; filter and stream_filter (df, **options) -> DataFrame; output (df,
+encoder, **options) -> None.  A stream_filter is what a filter of the same name
+is in a stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-KINDS = ("input", "decoder", "filter", "encoder", "output")
-PLUGINS: dict[str, dict[str, Callable]] = {k: {} for k in KINDS}
+KINDS = ("input", "splitter", "decoder", "filter", "encoder", "output")
+PLUGINS: dict[str, dict[str, Callable]] = {k: {} for k in (*KINDS, "stream_filter")}
 
 
 def plugin(kind: str, name: str) -> Callable[[Callable], Callable]:

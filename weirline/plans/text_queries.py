@@ -122,8 +122,8 @@ def decode_graylog(spark, sf_dir):
     return decoders.decode(_lines(spark, sf_dir, line), decoders.graylog(), keep=["event_id"]).select("event_id", "timestamp", "severity", "hostname", "env_version", _number("uid"))
 
 
-_SLOW_SQL = f"SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) * 1000000000 AS timestamp, round(value, 2) AS query_time, {_K}::DOUBLE AS rows_sent, 'SELECT ' || CASE WHEN length(event_type) > 5 THEN left(event_type, 5) || '...' ELSE event_type || CASE WHEN length(event_type) = 5 THEN '...' ELSE '' END END AS payload FROM events"
-_SLOW_SQL = _SLOW_SQL.replace("CASE WHEN length(event_type) > 5 THEN left(event_type, 5) || '...' ELSE event_type || CASE WHEN length(event_type) = 5 THEN '...' ELSE '' END END", "left(event_type || ';', 5) || CASE WHEN length(event_type) + 1 > 5 THEN '...' ELSE '' END")
+_SLOW_SQL = f"""SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) * 1000000000 AS timestamp, round(value, 2) AS query_time, {_K}::DOUBLE AS rows_sent,
+'SELECT ' || left(event_type || ';', 5) || CASE WHEN length(event_type) + 1 > 5 THEN '...' ELSE '' END AS payload FROM events"""
 
 
 def _slow(spark, sf_dir, mariadb):
@@ -281,18 +281,44 @@ def _hourly(spark, sf_dir):
     return made.select("type", "bucket_start", "value")
 
 
+def _with_gaps(table: str, seconds: int, reach: int, now: int) -> str:
+    """Common tables that end in `filled`: the series and the empty buckets after each that is followed by none."""
+    return f"""src AS (SELECT * FROM {table}),
+nxt AS (SELECT *, least(coalesce(lead(bucket_start) OVER (PARTITION BY type ORDER BY bucket_start) - {seconds}, {now}), bucket_start + {reach} * {seconds}) AS upto FROM src),
+filled AS (SELECT type, bucket_start, value FROM src UNION ALL SELECT type, unnest(generate_series(bucket_start + {seconds}, upto, {seconds})), NULL FROM nxt)"""
+
+
 _HOURLY = f"(SELECT event_type AS type, {_TICK.format(3600)} AS bucket_start, sum({_K})::DOUBLE AS value FROM events GROUP BY 1, 2)"
 
 
 @query(
-    f"""WITH w AS (SELECT type, bucket_start, avg(value) OVER c AS cur, avg(value) OVER p AS prev, stddev_pop(value) OVER h AS sd, count(value) OVER c AS n, count(value) OVER p AS m FROM {_HOURLY}
+    f"""WITH {_with_gaps(_HOURLY, 3600, 24, 1706745600)},
+w AS (SELECT type, bucket_start, avg(value) OVER c AS cur, avg(value) OVER p AS prev, stddev_pop(value) OVER h AS sd, count(value) OVER c AS n, count(value) OVER p AS m FROM filled
 WINDOW c AS (PARTITION BY type ORDER BY bucket_start RANGE BETWEEN 43200 PRECEDING AND 3600 PRECEDING), p AS (PARTITION BY type ORDER BY bucket_start RANGE BETWEEN 86400 PRECEDING AND 46800 PRECEDING),
 h AS (PARTITION BY type ORDER BY bucket_start RANGE BETWEEN 259200 PRECEDING AND 90000 PRECEDING))
 SELECT type, bucket_start, CASE WHEN m > 0 AND n = 0 THEN 'k - algorithm: roc col: 1 msg: no new data' WHEN abs(cur - prev) > sd * 0.5 THEN 'k - algorithm: roc col: 1 msg: detected anomaly, standard deviation exceeds 0.5' END AS msg FROM w"""
 )
 def roc_alerts(spark, sf_dir):
     test = anomaly.parse_config('roc("k", 1, 12, 48, 0.5, true, false)')[0]
-    return anomaly.roc(_hourly(spark, sf_dir), test, seconds=3600, rows=1440, keys=["type"]).select("type", "bucket_start", "msg")
+    return anomaly.roc(_hourly(spark, sf_dir), test, seconds=3600, rows=1440, keys=["type"], now=1706745600).select("type", "bucket_start", "msg")
+
+
+_DAILY = f"(SELECT 'host-' || user_id AS type, {_TICK.format(86400)} AS bucket_start, sum({_K})::DOUBLE AS value FROM events GROUP BY 1, 2)"
+
+
+@query(
+    f"""WITH {_with_gaps(_DAILY, 86400, 4, 1707264000)},
+w AS (SELECT type, bucket_start, avg(value) OVER c AS cur, avg(value) OVER p AS prev, stddev_pop(value) OVER h AS sd, count(value) OVER c AS n, count(value) OVER p AS m FROM filled
+WINDOW c AS (PARTITION BY type ORDER BY bucket_start RANGE BETWEEN 172800 PRECEDING AND 86400 PRECEDING), p AS (PARTITION BY type ORDER BY bucket_start RANGE BETWEEN 345600 PRECEDING AND 259200 PRECEDING),
+h AS (PARTITION BY type ORDER BY bucket_start RANGE BETWEEN 1036800 PRECEDING AND 432000 PRECEDING))
+SELECT type AS hostname, bucket_start, CASE WHEN m > 0 AND n = 0 THEN 'h - algorithm: roc col: 1 msg: no new data' WHEN m = 0 AND n > 0 THEN 'h - algorithm: roc col: 1 msg: unexpected data'
+WHEN abs(cur - prev) > sd * 2 THEN 'h - algorithm: roc col: 1 msg: detected anomaly, standard deviation exceeds 2' END AS msg FROM w"""
+)
+def roc_data_loss(spark, sf_dir):
+    """Hosts that fall silent, or begin to speak, on days that have no rows for them."""
+    made = series.aggregate(tables.events(spark, sf_dir), {"k": M.number("k")}, seconds=86400, keys=["hostname"])
+    test = anomaly.parse_config('roc("h", 1, 2, 8, 2, true, true)')[0]
+    return anomaly.roc(made, test, seconds=86400, rows=60, keys=["hostname"], now=1707264000).select("hostname", "bucket_start", "msg")
 
 
 @query()

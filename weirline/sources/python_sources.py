@@ -15,6 +15,7 @@ checkpoint ends, and re-reads a range if a batch is repeated.
 
 from __future__ import annotations
 
+import base64
 import glob
 import json
 import os
@@ -123,7 +124,12 @@ class _Http(_PollReader):
         out = []
         for url in json.loads(self.options["urls"]):
             began = time.time()
-            request = urllib.request.Request(url, headers=json.loads(self.options.get("headers", "{}")), method=self.options.get("method", "GET"))
+            headers = json.loads(self.options.get("headers", "{}"))
+            if "user" in self.options:
+                given = f"{self.options['user']}:{self.options.get('password', '')}".encode()
+                headers["Authorization"] = "Basic " + base64.b64encode(given).decode()
+            body = self.options["body"].encode() if "body" in self.options else None
+            request = urllib.request.Request(url, data=body, headers=headers, method=self.options.get("method", "GET"))
             try:
                 with urllib.request.urlopen(request, timeout=float(self.options.get("timeout", 30))) as got:
                     body, told = got.read().decode(errors="replace"), {"StatusCode": got.status, "Status": f"{got.status} {got.reason}", "Protocol": f"HTTP/{got.version / 10}"}
@@ -131,6 +137,9 @@ class _Http(_PollReader):
                 body, told = e.read().decode(errors="replace"), {"StatusCode": e.code, "Status": f"{e.code} {e.reason}", "Protocol": "HTTP/1.1"}
             except OSError as e:
                 body, told = str(e), {"StatusCode": 0, "Status": "error"}
+            good = 200 <= told["StatusCode"] < 300
+            told["severity"] = self.options.get("success_severity", "6") if good else self.options.get("error_severity", "1")
+            told["kind"] = "data" if told["StatusCode"] else "error"
             out.append((url, body, time.time_ns(), json.dumps(told | {"ResponseSize": len(body), "ResponseTime": time.time() - began})))
         return out
 
@@ -185,33 +194,49 @@ def register(spark: SparkSession) -> None:
 
 
 def as_messages(rows: DataFrame, *, type_: str, hostname: str = "") -> DataFrame:
-    """Their rows as messages; each detail is a field."""
-    details = F.map_entries(F.from_json("details", "map<string,string>"))
+    """Their rows as messages; each detail is a field, but severity and kind: they set the severity, and end the type (type_.kind)."""
+    told = F.from_json("details", "map<string,string>")
+    details = F.map_entries(F.map_filter(told, lambda k, _: ~k.isin("severity", "kind")))
+    kind = F.concat_ws(".", F.lit(type_), F.try_element_at(told, F.lit("kind")))
+    severity = F.try_element_at(told, F.lit("severity")).try_cast("int")
     bag = F.transform(F.coalesce(details, F.array().cast("array<struct<key:string,value:string>>")), lambda e: M.field(e["key"], e["value"], "string"))
-    return M.messages(rows, type=F.lit(type_), logger=F.col("source"), payload=F.col("payload"), hostname=F.lit(hostname), timestamp=F.col("at"), fields=bag)
+    return M.messages(rows, type=kind, severity=severity, logger=F.col("source"), payload=F.col("payload"), hostname=F.lit(hostname), timestamp=F.col("at"), fields=bag)
 
 
 class _Amqp(_PollReader):
-    """Deliveries are acknowledged when their batch is committed."""
+    """Deliveries are acknowledged when their batch is committed, and none that came after it."""
+
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.tags: dict[int, int] = {}
 
     def snapshot(self) -> list[tuple]:
         import pika
 
         if not hasattr(self, "channel"):
             self.channel = pika.BlockingConnection(pika.URLParameters(self.options["url"])).channel()
-        out = []
+        out, newest = [], None
         while len(out) < int(self.options.get("maxMessages", 10_000)):
             method, properties, body = self.channel.basic_get(self.options["queue"])
             if method is None:
                 break
-            self.last = method.delivery_tag
+            newest = method.delivery_tag
             out.append((self.options["queue"], body.decode(errors="replace"), time.time_ns(), json.dumps({"routing_key": method.routing_key, "content_type": properties.content_type or ""})))
+        self.newest = newest
         return out
 
+    def read(self, start: dict):
+        rows, end = super().read(start)
+        if self.newest is not None:
+            self.tags[end["n"]] = self.newest  # what a commit up to there acknowledges
+        return rows, end
+
     def commit(self, end: dict) -> None:
         super().commit(end)
-        if hasattr(self, "last"):
-            self.channel.basic_ack(self.last, multiple=True)
+        done = [n for n in self.tags if n <= end["n"]]
+        if done:
+            self.channel.basic_ack(self.tags[max(done)], multiple=True)
+            self.tags = {n: t for n, t in self.tags.items() if n > end["n"]}
 
 
 def register_amqp(spark: SparkSession) -> None:

@@ -8,6 +8,8 @@ delivery is at least once.
 
 from __future__ import annotations
 
+import json
+import logging
 import random
 import time
 from collections.abc import Callable, Iterable, Iterator
@@ -16,6 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Send = Callable[[bytes], None]
+_LOG = logging.getLogger(__name__)
+
+
+class Refused(ValueError):
+    """A request that can never be delivered: it is counted and reported, and the next one goes on."""
 
 
 def retry(act: Callable[[], None], *, most: int = 10, delay: float = 0.25, max_delay: float = 30.0, jitter: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> None:
@@ -44,16 +51,28 @@ def packed(lines: Iterable[bytes], *, max_count: int = 1000, max_bytes: int = 1
         yield b"".join(held)
 
 
-def deliver(df: DataFrame, line: Column, connect: Callable[[], Send], *, max_count: int = 1000, max_bytes: int = 1 << 20, retries: int = 10) -> None:
-    """Sends each row's line (text or bytes) from its partition; connect() is called once a partition."""
+def deliver(df: DataFrame, line: Column, connect: Callable[[], Send], *, max_count: int = 1000, max_bytes: int = 1 << 20, retries: int = 10) -> int:
+    """Sends each row's line (text or bytes) from its partition; connect() is called once a partition.
+
+    Returns how many requests the sink refused for good; each is reported
+    where it happens, and their number here.
+    """
+    refused = df.sparkSession.sparkContext.accumulator(0)
 
     def send(rows) -> None:
         out = None
         for request in packed((bytes(r[0]) for r in rows if r[0] is not None), max_count=max_count, max_bytes=max_bytes):
             out = out or connect()
-            retry(lambda: out(request), most=retries)  # noqa: B023
+            try:
+                retry(lambda: out(request), most=retries)  # noqa: B023
+            except Refused as e:
+                _LOG.error("refused: %s", e)
+                refused.add(1)
 
     df.select(line.cast("binary")).foreachPartition(send)
+    if refused.value:
+        _LOG.error("%d requests were refused", refused.value)
+    return refused.value
 
 
 def http(url: str, *, method: str = "POST", headers: dict[str, str] | None = None, timeout: float = 30) -> Callable[[], Send]:
@@ -97,7 +116,13 @@ def udp(host: str, port: int, *, max_message_size: int = 65_507) -> Callable[[],
         import socket
 
         s = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-        return lambda body: s.sendto(body[:max_message_size], (host, port)) and None
+
+        def send(body: bytes) -> None:
+            if len(body) > max_message_size:
+                raise Refused(f"{len(body)} bytes are more than the {max_message_size} of a datagram")
+            s.sendto(body, (host, port))
+
+        return send
 
     return connect
 
@@ -125,8 +150,71 @@ def to_service(line: Column, connect: Callable[[], Send], **limits) -> Callable[
 
 
 def elasticsearch(url: str, line: Column, *, flush_count: int = 10, **limits) -> Callable[[DataFrame, int], None]:
-    """Bulk requests of encoded documents."""
-    return to_service(line, http(f"{url.rstrip('/')}/_bulk", headers={"Content-Type": "application/x-ndjson"}), max_count=flush_count, **limits)
+    """Bulk requests of encoded documents.  Of an answer's items those that were refused for load (429, 5xx)
+    are sent again, alone; those that the index refuses for good are counted and reported."""
+    return to_service(line, bulk(f"{url.rstrip('/')}/_bulk"), max_count=flush_count, **limits)
+
+
+def bulk(url: str, *, timeout: float = 30, retries: int = 10) -> Callable[[], Send]:
+    def connect() -> Send:
+        import urllib.request
+
+        def post(body: bytes) -> list[dict]:
+            request = urllib.request.Request(url, data=body, headers={"Content-Type": "application/x-ndjson"}, method="POST")
+            with urllib.request.urlopen(request, timeout=timeout) as got:
+                told = json.loads(got.read() or b"{}")
+            return [next(iter(item.values())) for item in told.get("items", [])] if told.get("errors") else []
+
+        def send(body: bytes) -> None:
+            lines = body.rstrip(b"\n").split(b"\n")
+            waiting, lost = [b"\n".join(pair) + b"\n" for pair in zip(lines[::2], lines[1::2], strict=True)], []
+
+            def attempt() -> None:
+                items = post(b"".join(waiting))
+                bad = [(d, i) for d, i in zip(waiting, items, strict=False) if i.get("status", 200) >= 300]
+                lost.extend(i for _, i in bad if i["status"] != 429 and i["status"] < 500)
+                waiting[:] = [d for d, i in bad if i["status"] == 429 or i["status"] >= 500]
+                if waiting:
+                    raise OSError(f"{len(waiting)} documents were put off")
+
+            retry(attempt, most=retries)
+            if lost:
+                raise Refused(f"{len(lost)} documents, first for {lost[0].get('error')}")
+
+        return send
+
+    return connect
+
+
+#: The producer's classes by the name of the way to deal.
+PARTITIONERS = {"Random": "", "Hash": "", "RoundRobin": "org.apache.kafka.clients.producer.RoundRobinPartitioner"}
+
+
+def kafka_rows(df: DataFrame, line: Column, *, topic: str = "", topic_variable: str = "", partitioner: str = "Random", hash_variable: str = "") -> DataFrame:
+    """topic, key and value of each message; the key is set by the Hash partitioner, and Kafka deals by it."""
+    from ..functions import message as M
+
+    if partitioner not in PARTITIONERS:
+        raise ValueError(f"partitioner is one of {', '.join(PARTITIONERS)}")
+    if bool(topic) == bool(topic_variable):
+        raise ValueError("name a topic or a topic_variable")
+    if (partitioner == "Hash") != bool(hash_variable):
+        raise ValueError("hash_variable goes with the Hash partitioner")
+    named = M.variable(topic_variable) if topic_variable else F.lit(topic)
+    key = M.variable(hash_variable).cast("binary") if hash_variable else F.lit(None).cast("binary")
+    return df.select(named.alias("topic"), key.alias("key"), line.cast("binary").alias("value"))
+
+
+def kafka(servers: str, line: Column, *, partitioner: str = "Random", acks: str = "1", compression: str = "none", options: dict[str, str] | None = None, **naming) -> Callable[[DataFrame, int], None]:
+    """Encoded messages to a topic, or to the topic that a message variable names; needs Spark's Kafka package."""
+    settings = {"kafka.bootstrap.servers": servers, "kafka.acks": acks, "kafka.compression.type": compression, **(options or {})}
+    if PARTITIONERS.get(partitioner):
+        settings["kafka.partitioner.class"] = PARTITIONERS[partitioner]
+
+    def write(batch: DataFrame, epoch: int = 0) -> None:
+        kafka_rows(batch, line, partitioner=partitioner, **naming).write.format("kafka").options(**settings).save()
+
+    return write
 
 
 #: Fixed value: bytes that a UDP packet of stat lines holds at most.
@@ -157,6 +245,20 @@ def nagios_state(text: Column) -> tuple[Column, Column]:
     return state, F.regexp_replace(text, r"^(OK|WARNING|CRITICAL|UNKNOWN):", "")
 
 
+def nagios(url: str, *, service: str = "", user: str = "", password: str = "", timeout: float = 30) -> Callable[[DataFrame, int], None]:
+    """Passive check results, one a message, to the web form of a monitoring server: the host is the message's, the
+    service its logger unless one is named."""
+    state, text = nagios_state(F.col("payload"))
+    form = {"cmd_typ": F.lit("30"), "cmd_mod": F.lit("2"), "host": F.col("hostname"), "service": F.lit(service) if service else F.col("logger"), "plugin_state": state.cast("string"), "plugin_output": text, "performance_data": F.lit("")}
+    body = F.concat_ws("&", *[F.concat(F.lit(f"{k}="), F.url_encode(v)) for k, v in form.items()])
+    headers = {"Content-Type": "application/x-www-form-urlencoded"}
+    if user:
+        import base64
+
+        headers["Authorization"] = "Basic " + base64.b64encode(f"{user}:{password}".encode()).decode()
+    return to_service(body, http(url, headers=headers, timeout=timeout), max_count=1)
+
+
 #: Seconds a point and points of the default archives.
 ARCHIVES = ((60, 1440), (900, 8), (3600, 168), (43200, 1456))
 

@@ -49,28 +49,28 @@ def heartbeat_alerts(df: DataFrame, *, timeout: int = 30, throttle: int = 300) -
 def frequent_items(df: DataFrame, item: str, *, keys: list[str], max_items: int = 1000, reset_days: int = 1) -> DataFrame:
     """keys, item, weight after each batch: at most max_items counters a key.
 
-    A new item when all counters are taken lowers each by one and is not
-    stored; counters at zero go.  Weights start afresh every reset_days (UTC),
-    and rows of an earlier day are left out.
+    The items of a batch are counted first and added to the counters; if there
+    are more than max_items then, the largest that has no room is taken from
+    all, and counters at zero go, so that a weight is too low by the share of
+    1 / (max_items + 1) of all rows at most.  Weights start afresh every
+    reset_days (UTC), and rows of an earlier day are left out.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names, weights, day = state.get if state.exists else ([], [], 0)
-        counts = dict(zip(names, weights, strict=True))
-        rows = pd.concat(list(frames)).sort_values("timestamp", kind="stable")
-        for ts, name in zip(rows["timestamp"], rows["_item"], strict=True):
-            if reset_days:
-                today = int(ts) // 86_400_000_000_000
-                if today < day:
-                    continue
-                if today - day >= reset_days:
-                    counts, day = {}, today
-            if name in counts:
-                counts[name] += 1
-            elif len(counts) < max_items:
-                counts[name] = 1
-            else:
-                counts = {k: v - 1 for k, v in counts.items() if v > 1}
+        counts = pd.Series(weights, index=pd.Index(names, dtype=object), dtype="int64")
+        rows = pd.concat(list(frames))
+        days = rows["timestamp"] // 86_400_000_000_000 if reset_days else 0 * rows["timestamp"]
+        for today, items in rows["_item"].groupby(days):
+            if reset_days and today < day:
+                continue
+            if reset_days and today - day >= reset_days:
+                counts, day = counts[:0], int(today)
+            counts = counts.add(items.value_counts(), fill_value=0).astype("int64")
+            if len(counts) > max_items:
+                counts = counts - counts.nlargest(max_items + 1).iloc[-1]
+                counts = counts[counts > 0]
+        counts = counts.to_dict()
         state.update((list(counts), list(counts.values()), day))
         yield pd.DataFrame({**{k: [v] * len(counts) for k, v in zip(keys, key, strict=True)}, "item": list(counts), "weight": list(counts.values())})
 
