@@ -69,6 +69,8 @@ def timestamp(value: Column, layout: str, tz: str | None = None, *, fallback: bo
         text, shape = value, pattern
         if m := re.match(r"E+,? ", shape):  # Spark does not parse weekdays, which add nothing
             text, shape = F.regexp_replace(text, r"^[A-Za-z]+,? ", ""), shape[m.end() :]
+        if "MMM d " in shape:  # a day of one digit has a second space before it
+            text = F.regexp_replace(text, " +", " ")
         if "y" not in bare:
             text, shape = F.concat(now.cast("string"), F.lit(" "), text), "yyyy " + shape
         if not re.search("[zZXVO]", bare):

@@ -13,9 +13,8 @@ import math
 import re
 from collections.abc import Callable, Mapping, Sequence
 
-from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
-from pyspark.errors import ParseException
+from pyspark.errors import IllegalArgumentException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +68,7 @@ def _text_test(sql: str, op: str, value: re.Match) -> str:
         try:
             java = to_java(pattern)
             _checked(java)
-        except (ValueError, KeyError, Py4JJavaError) as e:
+        except (ValueError, KeyError, IllegalArgumentException) as e:
             raise MatcherError(f"{pattern}: {str(e).splitlines()[0]}") from e
         affix = plain_affix(pattern)
         found = f"{affix[0]}({sql}, {_quoted(affix[1])})" if affix else f"rlike({sql}, {_quoted(java)})"
