@@ -262,7 +262,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, ngram: int, threshold: flo
     whole = C.checkpointed(kinds.select("_node", "_h1", "_h2", "_first", "_copies").join(links, "_node", "left").join(groups, "_node", "left").withColumn("_alone", F.col("_group").isNull()).withColumn("_group", F.coalesce("_group", "_node")))
     # A group may hold any share of the classes: its rows are salted, and its smallest document repeated for each salt.
     firsts = whole.where("NOT _alone").groupBy("_group").agg(F.min("_first").alias("_smallest")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    grouped = whole.where("NOT _alone").withColumn("_salt", F.pmod(F.xxhash64("_node"), F.lit(SALTS)).cast("int")).join(firsts, ["_group", "_salt"]).drop("_salt")
+    grouped = whole.where("NOT _alone").withColumn("_salt", F.pmod(F.xxhash64("_node"), F.lit(SALTS)).cast("int")).join(firsts.hint("merge"), ["_group", "_salt"]).drop("_salt")
     named = grouped.unionByName(whole.where("_alone").withColumn("_smallest", F.col("_first"))).select("_group", "_h1", "_h2", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"), "_smallest")
     return signed.select("_id", "_h1", "_h2"), named
 
