@@ -130,7 +130,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     window; a null item_id counts as ''.  Equal rows get equal marks.  A
     column of that name is replaced; others may have any names.  An empty
     benchmark marks nothing, empty docs give an empty result.  A text is
-    scanned in one task, at about thirty times its size.
+    scanned in one task, at about forty times its size.
     """
     context = docs.sparkSession.sparkContext
     kept = [c for c in docs.columns if c.lower() != "contamination"]

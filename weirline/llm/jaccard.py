@@ -279,7 +279,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram:
     (TypeError if not); rows of one doc_id count as documents of their own; a
     null doc_id is the smallest.  An empty table gives an empty result.  Other
     columns, whatever their names, are not read.  A text's grams are made in
-    one task, at about sixty times its size.
+    one task, at about forty times its size.
     """
     all_rows, named = _grouped(docs, doc_id, text, ngram, threshold, recall, rows, tile)
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))

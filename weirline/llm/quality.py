@@ -320,7 +320,7 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     languages and sources are values of their own; a null or empty text has no
     words and fails.  Equal rows are judged alike.  A column of that name is
     replaced; others may have any names.  An empty table gives an empty
-    result.  A text is measured in one task, at about forty times its size.
+    result.  A text is measured in one task, at about fifty times its size.
     """
     want = list(columns) if columns is not None else [c for c in docs.columns if c.lower() != name]
     judged, back = _judged(docs, want, text, lang, source, level)

@@ -297,7 +297,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     an empty result.  Runs and windows are compared by 64-bit hashes.  Other
     columns, whatever their names, are not read.  A task holds one block, of
     about 6 MB or one text, at about forty times its size, so that a text of
-    20 MB takes about 1 GB.
+    20 MB takes about 800 MB.
     """
     total = C.text_bytes(docs, text)
     n_runs, n_windows = C.buckets_for(total // 24, 500_000), C.buckets_for(total // 12, 1_000_000)

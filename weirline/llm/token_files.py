@@ -261,7 +261,7 @@ def write(docs: DataFrame, to: str, tokenizer: str, *, doc_id: str = "doc_id", t
     not read.  tokenizer is the path of a `tokenizers` file that is on every
     machine: texts are cut into units only if it splits bytes as Encoder
     expects, and are encoded whole by any other.  A text is encoded in one
-    task, at about forty times its size, and a chunk holds whole documents.
+    task, at about fifty times its size, and a chunk holds whole documents.
     """
     C.integer_id(docs, doc_id)
     rows = docs.select(C.col(doc_id).cast("long").alias("_id"), C.col(text).alias("_text"), F.xxhash64(C.col(text)).alias("_row"))
