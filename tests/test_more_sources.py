@@ -44,7 +44,7 @@ def test_container_messages(spark):
         return decoders.decode(M.messages(spark.createDataFrame([(payload,)], "p string"), payload=F.col("p")), column).first()
 
     row = read('{"id":"c1","status":"start","from":"img","time":7}', decoders.container_event())
-    assert (row.type, row.timestamp, row.payload) == ("DockerEvent", 7 * 10**9, "id: c1 status: start from: img time: 7")
+    assert (row.type, row.timestamp, row.payload) == ("DockerEvent", 7 * 10**9, "id:c1 status:start from:img time:7")
     row = read('{"read":"2024-01-01T00:00:00.5Z","name":"/web"}', decoders.container_stats())
     assert (row.type, row.timestamp, row.fields[0].value_string[0]) == ("DockerStats", 1704067200500000000, "web")
     assert read("{}", decoders.container_event()).decode_error

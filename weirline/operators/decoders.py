@@ -402,7 +402,8 @@ def container_event(*, text: str = PAYLOAD) -> Column:
     """A container engine's event as JSON: fields ID, Status, From and Time."""
     top = F.from_json(F.col(text), "id string, status string, `from` string, time bigint")
     bag = M.fields(M.field("ID", top["id"], "string"), M.field("Status", top["status"], "string"), M.field("From", top["from"], "string"), M.field("Time", top["time"], "integer"))
-    words = F.concat_ws(" ", F.lit("id:"), top["id"], F.lit("status:"), top["status"], F.lit("from:"), top["from"], F.lit("time:"), top["time"].cast("string"))
+    shown = {"id": top["id"], "status": top["status"], "from": F.coalesce(top["from"], F.lit("")), "time": F.coalesce(top["time"], F.lit(0)).cast("string")}
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"{n}:"), c) for n, c in shown.items()])
     return decoded(top["id"].isNotNull() & top["status"].isNotNull(), bag, type=F.lit("DockerEvent"), payload=words, timestamp=top["time"] * 1_000_000_000)
 
 
